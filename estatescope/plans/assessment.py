@@ -94,12 +94,24 @@ def rule_jobs(g: Tables) -> Jobs:
     }
 
 
-def evaluate(jobs: Jobs) -> Tables:
-    """All tables of a layer as unevaluated DataFrames."""
-    tables: Tables = {}
-    for name, job in jobs.items():
-        tables[name] = job(tables)
-    return tables
+class _Evaluated(dict):
+    """Tables of a layer, each built when first asked for."""
+
+    def __init__(self, jobs: Jobs):
+        super().__init__()
+        self._jobs = jobs
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._jobs[name](self)
+        return self[name]
+
+    def all(self) -> Tables:
+        return {name: self[name] for name in self._jobs}
+
+
+def evaluate(jobs: Jobs) -> _Evaluated:
+    """The tables of a layer as unevaluated DataFrames."""
+    return _Evaluated(jobs)
 
 
 def run_assessment(spark: SparkSession, snapshot: str, out: str, fmt: str = "parquet",

@@ -71,13 +71,13 @@ PIECES["x_schedule_text"] = """
         ELSE (CASE freq_type
           WHEN 4 THEN 'Every day '
           WHEN 8 THEN 'Every ' || recurrence || ' week(s) on ' || (
-            CASE WHEN ivl % 128 = 0 THEN '' ELSE array_to_string(list_filter([
+            CASE WHEN ivl % 128 = 0 THEN '' ELSE array_to_string([
               CASE WHEN ivl & 1 > 0 THEN 'Sunday' END, CASE WHEN ivl & 2 > 0 THEN 'Monday' END,
               CASE WHEN ivl & 4 > 0 THEN 'Tuesday' END,
               CASE WHEN ivl & 8 > 0 THEN 'Wednesday' END,
               CASE WHEN ivl & 16 > 0 THEN 'Thursday' END,
               CASE WHEN ivl & 32 > 0 THEN 'Friday' END,
-              CASE WHEN ivl & 64 > 0 THEN 'Saturday' END], x -> x IS NOT NULL), ', ') || ' ' END)
+              CASE WHEN ivl & 64 > 0 THEN 'Saturday' END], ', ') || ' ' END)
           WHEN 16 THEN 'Every ' || recurrence || ' months(s) on day ' || ivl || ' of that month '
           WHEN 32 THEN 'Every ' || recurrence || ' months(s) on the ' || (CASE relative
               WHEN 1 THEN 'first ' WHEN 2 THEN 'second ' WHEN 4 THEN 'third '
@@ -186,14 +186,15 @@ PIECES["x_top_sql"] = """
     QUALIFY row_number() OVER (PARTITION BY server_id, database_id
       ORDER BY total_worker_time DESC, sp_name, l_partkey) <= 10"""
 PIECES["x_top_wait"] = """
-    SELECT server_id, wait_type, max_wait_time AS wait_time_ms, signal AS signal_wait_time_ms,
+    SELECT * FROM (
+      SELECT server_id, wait_type, max_wait_time AS wait_time_ms, signal AS signal_wait_time_ms,
            wait_time - signal AS resource_wait_time_ms,
            100.0::DOUBLE * wait_time / (sum(wait_time) OVER w)::DOUBLE AS percent_total_waits,
            100.0::DOUBLE * signal / (sum(signal) OVER w)::DOUBLE AS percent_total_signal_waits,
            100.0::DOUBLE * (wait_time - signal) / (sum(wait_time) OVER w)::DOUBLE
              AS percent_total_resource_waits
-    FROM x_waits WHERE wait_time > 0
-    WINDOW w AS (PARTITION BY server_id)
+      FROM x_waits WHERE wait_time > 0
+      WINDOW w AS (PARTITION BY server_id))
     QUALIFY row_number() OVER (PARTITION BY server_id
       ORDER BY percent_total_resource_waits DESC, wait_type) <= 40"""
 PIECES["x_groups"] = """
@@ -338,4 +339,6 @@ def expand(sql: str) -> str:
     if not used:
         return sql
     pieces = ",\n".join(f"{name} AS ({PIECES[name]})" for name in used)
+    if sql.startswith("WITH "):
+        return f"WITH {pieces},\n{sql[5:]}"
     return f"WITH {pieces}\n{sql}"
