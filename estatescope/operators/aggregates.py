@@ -47,8 +47,9 @@ def ordered_names(order: Column, name: Column, when: Column | None = None) -> Co
     For lists whose length the model bounds, such as the columns of one index.
     """
     item = F.struct(order.alias("at"), name.alias("name"))
-    items = F.array_sort(F.collect_list(item if when is None else F.when(when, item)))
-    return F.nullif(F.transform(items, lambda x: x["name"]), F.array().cast("array<string>"))
+    item = item if when is None else F.when(when, item)
+    names = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["name"])
+    return F.when(F.count(item) > 0, names)
 
 
 def distinct_names(df: DataFrame, by: Sequence[str], name: str, count: str, listed: str) -> DataFrame:
@@ -60,7 +61,7 @@ def distinct_names(df: DataFrame, by: Sequence[str], name: str, count: str, list
     per_name = df.groupBy(*by, name).agg(F.count(F.lit(1)).alias("_n"))
     return per_name.groupBy(*by).agg(
         F.sum("_n").alias(count),
-        F.array_join(F.array_sort(F.collect_list(name)), ",").alias(listed))
+        F.array_join(F.sort_array(F.collect_list(name)), ",").alias(listed))
 
 
 def sequence_gap(sequences: DataFrame, values: DataFrame, on: Sequence[str],

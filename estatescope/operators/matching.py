@@ -14,6 +14,7 @@ in front of a suffix can match, which is a handful per text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,45 +23,61 @@ from estatescope.functions.scalars import in_string_count
 SUFFIXES = (".", "].")
 
 
-def _before_suffix(text: Column, suffix: str, longest: Column, span: Column) -> Column:
-    """For each occurrence of the suffix: up to ``longest`` characters in front of it.
+def _split_at(text: Column, mark: str) -> Column:
+    # An escaped single character spares the split the regex engine.
+    pattern = "\\" + mark if len(mark) == 1 and not mark.isalnum() else f"\\Q{mark}\\E"
+    return F.split(text, pattern, -1)
 
-    A term may hold the suffix itself (host.domain), up to ``span`` times, so a stretch
+
+def _before_mark(pieces: Column, mark: str, reach: Column, span: Column) -> Column:
+    """For each occurrence of the mark: up to ``reach`` characters in front of it.
+
+    A term may hold the mark itself (host.domain), up to ``span`` times, so a stretch
     looks back over that many pieces.
     """
-    pieces = F.split(text, "\\Q" + suffix + "\\E", -1)
-
     def stretch(piece: Column, i: Column) -> Column:
         first = F.greatest(i - span, F.lit(0))
-        back = F.array_join(F.slice(pieces, first + 1, i - first + 1), suffix)
-        return F.right(F.when(span == 0, piece).otherwise(back), longest)
+        back = F.array_join(F.slice(pieces, first + 1, i - first + 1), mark)
+        return F.right(F.when(span == 0, piece).otherwise(back), reach)
 
     ends = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    return F.transform(ends, stretch)
+    return F.array_distinct(F.transform(ends, stretch))
 
 
-def _check_suffixes(suffixes: Sequence[str]) -> None:
-    for s in suffixes:
+def _marks(suffixes: Sequence[str]) -> dict[str, list[str]]:
+    """Shortest suffixes, each with what longer suffixes have in front of it.
+
+    ``.`` and ``].`` give ``{".": ["", "]"]}``: the text is split at dots only.
+    """
+    marks: dict[str, list[str]] = {}
+    for s in sorted({s for s in suffixes if s}, key=len):
         if any(s[:n] == s[-n:] for n in range(1, len(s))):
             raise ValueError(f"suffix {s!r} can overlap itself")
+        mark = next((m for m in marks if s.endswith(m)), s)
+        marks.setdefault(mark, []).append(s[:len(s) - len(mark)])
+    return marks
 
 
 def _with_stretches(texts: DataFrame, keys: Sequence[str], suffixes: Sequence[str]) -> DataFrame:
     """One row per text and candidate stretch (``_term``); repeats are possible."""
     longest = F.array_max("_lengths")
-    _check_suffixes(suffixes)
-    named = [s for s in suffixes if s]
     frames = []
-    if named:
-        tails = F.array_distinct(F.flatten(F.array(
-            *[_before_suffix(F.col("_text"), s, longest, F.element_at("_spans", i + 1))
-              for i, s in enumerate(named)])))
+    for i, (mark, fronts) in enumerate(_marks(suffixes).items()):
+        reach = longest + max(len(f) for f in fronts)
+        tails = _before_mark(F.col("_pieces"), mark, reach, F.element_at("_spans", i + 1))
+        # In front of "]." stands what is in front of the dot, less the bracket.
+        tail = F.col("_tail")
+        stems = [F.when(tail.endswith(f), F.left(tail, F.length(tail) - len(f))) if f else tail
+                 for f in fronts]
         frames.append(
-            texts.select(*keys, "_lengths", F.explode(tails).alias("_tail"))
-            .select(*keys, "_tail", F.explode("_lengths").alias("_n"))
-            .filter(F.col("_n") <= F.length("_tail"))
-            .select(*keys, F.right("_tail", F.col("_n")).alias("_term")))
-    if len(named) < len(suffixes):
+            texts.select(*keys, "_lengths", "_spans", _split_at(F.col("_text"), mark)
+                         .alias("_pieces"))
+            .select(*keys, "_lengths", F.explode(tails).alias("_tail"))
+            .select(*keys, "_lengths", F.explode(F.array(*stems)).alias("_stem"))
+            .select(*keys, "_stem", F.explode("_lengths").alias("_n"))
+            .filter(F.col("_n") <= F.length("_stem"))
+            .select(*keys, F.right("_stem", F.col("_n")).alias("_term")))
+    if "" in suffixes:
         # No suffix: every stretch of each length.  The lookahead takes _n characters from
         # the position, the final dot moves on by one character.
         pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("_n").cast("string"), F.lit("}))."))
@@ -68,7 +85,7 @@ def _with_stretches(texts: DataFrame, keys: Sequence[str], suffixes: Sequence[st
             texts.select(*keys, "_text", F.explode("_lengths").alias("_n"))
             .select(*keys, F.explode(F.regexp_extract_all("_text", pattern, F.lit(1)))
                     .alias("_term")))
-    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _distinct_terms(terms: DataFrame, term_col: str, scope: Sequence[str]) -> DataFrame:
@@ -81,13 +98,13 @@ def _hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str
           term_col: str, suffixes: Sequence[str], scope: Sequence[str]) -> DataFrame:
     columns = list(dict.fromkeys([*keys, *scope]))
     # What the tasks must know of the terms reaches them as two small arrays: the lengths
-    # that occur, and how often a term holds each suffix.
+    # that occur, and how often a term holds each mark.
     term = F.lower(term_col)
     shape = (terms.filter(F.length(term_col) > 0)
              .agg(F.struct(
                  F.sort_array(F.collect_set(F.length(term))).alias("lengths"),
-                 F.array(*[F.max(in_string_count(term, s)).cast("int") for s in suffixes if s],
-                         F.lit(0)).alias("spans")))
+                 F.array(*[F.max(in_string_count(term, m)).cast("int")
+                           for m in _marks(suffixes)], F.lit(0)).alias("spans")))
              .scalar())
     prepared = (texts.filter(F.col(text_col).isNotNull())
                 .select(*columns, F.lower(text_col).alias("_text"), shape.alias("_shape"))

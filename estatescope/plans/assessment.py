@@ -72,9 +72,9 @@ def gold_jobs(s: Tables, mode: str = "reference") -> Jobs:
         "top_wait_view": lambda g: views.top_wait_view(s),
         "routine_findings": lambda g: rules.routine_findings(g["objects_view"]),
         "column_findings": lambda g: rules.column_findings(g["columns_view"], mode),
-        "cross_server_routines": lambda g: rules.cross_server_routines(
+        "cross_server_hits": lambda g: rules.cross_server_hits(
             g["objects_view"], s["linked_servers"], mode),
-        "cross_database_routines": lambda g: rules.cross_database_routines(
+        "cross_database_hits": lambda g: rules.cross_database_hits(
             g["objects_view"], s["databases"], mode),
     }
 
@@ -82,8 +82,10 @@ def gold_jobs(s: Tables, mode: str = "reference") -> Jobs:
 def rule_jobs(g: Tables) -> Jobs:
     """The eight rule tables, as filters on the findings."""
     return {
-        "cross_server_routines": lambda _: g["cross_server_routines"],
-        "cross_database_routines": lambda _: g["cross_database_routines"],
+        "cross_server_routines": lambda _: rules.with_text(
+            g["cross_server_hits"], g["objects_view"]),
+        "cross_database_routines": lambda _: rules.with_text(
+            g["cross_database_hits"], g["objects_view"]),
         "incompatible_routine_types": lambda _: rules.incompatible_routine_types(
             g["routine_findings"]),
         "incompatible_routines": lambda _: rules.incompatible_routines(g["routine_findings"]),

@@ -86,8 +86,8 @@ def databases_report(g: Tables, s: Tables) -> DataFrame:
         _kinds=F.sum(F.when(found, 1).otherwise(0)))
     df = rollup_left(df, s["sequences"], DB, _sequences=F.count(F.lit(1)))
 
-    linked = distinct_names(g["cross_server_routines"], DB, "linked_server", "_xs", "_xs_list")
-    calls = g["cross_database_routines"]
+    linked = distinct_names(g["cross_server_hits"], DB, "linked_server", "_xs", "_xs_list")
+    calls = g["cross_database_hits"]
     outgoing = distinct_names(
         calls.filter(name_key(F.col("x_database_name")) != "tempdb"), DB, "x_database_name",
         "_xo", "_xo_list")
@@ -169,10 +169,10 @@ def indexes_report(s: Tables) -> DataFrame:
 
 def routines_report(g: Tables) -> DataFrame:
     """Every object but tables, with the servers and databases its text names."""
-    servers = distinct_names(_keyed(g["cross_server_routines"]), NAMED, "linked_server",
+    servers = distinct_names(g["cross_server_hits"], NAMED, "linked_server",
                              "_n", "_servers").drop("_n")
-    calls = g["cross_database_routines"].filter(name_key(F.col("x_database_name")) != "tempdb")
-    called = distinct_names(_keyed(calls), NAMED, "x_database_name", "_n", "_called").drop("_n")
+    calls = g["cross_database_hits"].filter(name_key(F.col("x_database_name")) != "tempdb")
+    called = distinct_names(calls, NAMED, "x_database_name", "_n", "_called").drop("_n")
     return (
         g["routine_findings"].filter(F.col("xtype") != "U")
         .join(servers, NAMED, "left").join(called, NAMED, "left")
@@ -185,11 +185,6 @@ def routines_report(g: Tables) -> DataFrame:
         .orderBy("DatabaseName", "SchemaName", "Xtype", "TypeDesc", "ObjectName"))
 
 
-def _keyed(rule_table: DataFrame) -> DataFrame:
-    return (rule_table.withColumn("schema_key", name_key(F.col("schema_name")))
-            .withColumn("object_key", name_key(F.col("object_name"))))
-
-
 def sequences_report(s: Tables) -> DataFrame:
     return (s["sequences"].join(s["databases"].select(*DB, "database_name"), DB)
             .select(*_headed(DatabaseName="database_name", SequenceName="sequence_name",

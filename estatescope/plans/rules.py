@@ -22,36 +22,40 @@ _COLUMN = [*DB, "database_name", "table_schema", "table_catalog", "table_name",
            "data_type"]
 
 
-def _with_hits(objects_view: DataFrame, hits: DataFrame) -> DataFrame:
-    return objects_view.select(*NAMED, *_ROUTINE[2:]).join(hits, NAMED)
+_FOUND_IN = [*NAMED, "database_name", "xtype", "schema_name", "object_name"]
 
 
-def cross_server_routines(objects_view: DataFrame, linked_servers: DataFrame,
-                          mode: str = "reference", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """Routines whose text names one of their server's linked servers.
+def cross_server_hits(objects_view: DataFrame, linked_servers: DataFrame,
+                      mode: str = "reference", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Routines (without their text) whose text names one of their server's linked servers.
 
     ``reference`` keeps one name per routine (the first), ``intended`` all of them.
     """
     find = first_match if mode == "reference" else all_matches
-    hits = find(objects_view, linked_servers, NAMED, "routine_definition", "linked_server",
+    return find(objects_view, linked_servers, _FOUND_IN, "routine_definition", "linked_server",
                 suffixes, ["server_id"])
-    return _with_hits(objects_view, hits).select("linked_server", *_ROUTINE)
 
 
-def cross_database_routines(objects_view: DataFrame, databases: DataFrame,
-                            mode: str = "reference",
-                            suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """Routines whose text names another database of their server.
+def cross_database_hits(objects_view: DataFrame, databases: DataFrame,
+                        mode: str = "reference",
+                        suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Routines (without their text) whose text names another database of their server.
 
     ``reference`` keeps the first name per routine and then drops it if it is the
     routine's own database; ``intended`` keeps every name but the own.
     """
     find = first_match if mode == "reference" else all_matches
     terms = databases.select("server_id", F.col("database_name").alias("x_database_name"))
-    hits = find(objects_view, terms, NAMED, "routine_definition", "x_database_name", suffixes,
+    hits = find(objects_view, terms, _FOUND_IN, "routine_definition", "x_database_name", suffixes,
                 ["server_id"])
-    other = name_key(F.col("x_database_name")) != name_key(F.col("database_name"))
-    return _with_hits(objects_view, hits).filter(other).select("x_database_name", *_ROUTINE)
+    return hits.filter(name_key(F.col("x_database_name")) != name_key(F.col("database_name")))
+
+
+def with_text(hits: DataFrame, objects_view: DataFrame) -> DataFrame:
+    """The rule table: hits with the routine's text."""
+    text = objects_view.filter(F.col("routine_definition").isNotNull()).select(
+        *NAMED, "routine_definition")
+    return hits.join(text, NAMED).drop("schema_key", "object_key")
 
 
 def routine_findings(objects_view: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ PLAN_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Every column call would otherwise record its Python stack, which for plans of this
+    # size costs more than planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

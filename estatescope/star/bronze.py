@@ -39,16 +39,19 @@ class Star:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        if name == "documents":
-            # Text work is CPU-bound.  Where the files split into fewer tasks than there
-            # are cores, spread the rows; a large table splits well enough by itself.
-            cores = self.spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores, "doc_id")
-        return df
+        if name not in self._tables:
+            df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+            if name == "documents":
+                # Text work is CPU-bound.  Where the files split into fewer tasks than there
+                # are cores, spread the rows; a large table splits well enough by itself.
+                cores = self.spark.sparkContext.defaultParallelism
+                if df.rdd.getNumPartitions() < cores:
+                    df = df.repartition(cores, "doc_id")
+            self._tables[name] = df
+        return self._tables[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from estatescope.plans import reports, rules, views
-from estatescope.plans.assessment import evaluate, gold_jobs
+from estatescope.plans.assessment import evaluate, gold_jobs, rule_jobs
 from estatescope.star.inventory import StarInventory
 from estatescope.star.registry import query
 
@@ -178,6 +178,10 @@ def _gold(spark: SparkSession, d: str, mode: str = "reference"):
     return s, evaluate(gold_jobs(s, mode))
 
 
+def _rules(spark: SparkSession, d: str, mode: str = "reference"):
+    return evaluate(rule_jobs(_gold(spark, d, mode)[1]))
+
+
 _ROUTINE_SQL = "server_id, database_id, database_name, schema_name, object_name, xtype"
 
 
@@ -189,7 +193,7 @@ def _routine(df: DataFrame, *extra: str) -> DataFrame:
 @query("rule_cross_server_routines", f"""
     SELECT {_ROUTINE_SQL}, definition AS routine_definition, linked_server FROM x_xserver""")
 def rule_cross_server(spark: SparkSession, d: str) -> DataFrame:
-    return _routine(_gold(spark, d)[1]["cross_server_routines"], "linked_server")
+    return _routine(_rules(spark, d)["cross_server_routines"], "linked_server")
 
 
 @query("rule_cross_server_routines_intended", """
@@ -200,14 +204,14 @@ def rule_cross_server(spark: SparkSession, d: str) -> DataFrame:
     WHERE contains(lower(definition), lower(linked_server) || '.')
       OR contains(lower(definition), lower(linked_server) || '].')""")
 def rule_cross_server_intended(spark: SparkSession, d: str) -> DataFrame:
-    return _gold(spark, d, "intended")[1]["cross_server_routines"].select(
+    return _gold(spark, d, "intended")[1]["cross_server_hits"].select(
         "server_id", "database_id", "schema_name", "object_name", "linked_server")
 
 
 @query("rule_cross_database_routines", f"""
     SELECT {_ROUTINE_SQL}, definition AS routine_definition, x_database_name FROM x_xdatabase""")
 def rule_cross_database(spark: SparkSession, d: str) -> DataFrame:
-    return _routine(_gold(spark, d)[1]["cross_database_routines"], "x_database_name")
+    return _routine(_rules(spark, d)["cross_database_routines"], "x_database_name")
 
 
 @query("rule_cross_database_routines_intended", """
@@ -216,7 +220,7 @@ def rule_cross_database(spark: SparkSession, d: str) -> DataFrame:
     WHERE contains(lower(definition), lower(d.database_name) || '.')
       OR contains(lower(definition), lower(d.database_name) || '].')""")
 def rule_cross_database_intended(spark: SparkSession, d: str) -> DataFrame:
-    return _gold(spark, d, "intended")[1]["cross_database_routines"].select(
+    return _gold(spark, d, "intended")[1]["cross_database_hits"].select(
         "server_id", "database_id", "schema_name", "object_name", "x_database_name")
 
 
@@ -224,16 +228,14 @@ def rule_cross_database_intended(spark: SparkSession, d: str) -> DataFrame:
     SELECT {_ROUTINE_SQL}, definition AS routine_definition, type_desc FROM x_routines
     WHERE incompatible_type = 1 AND definition IS NOT NULL""")
 def rule_routine_types(spark: SparkSession, d: str) -> DataFrame:
-    findings = _gold(spark, d)[1]["routine_findings"]
-    return _routine(rules.incompatible_routine_types(findings), "type_desc")
+    return _routine(_rules(spark, d)["incompatible_routine_types"], "type_desc")
 
 
 @query("rule_incompatible_routines", f"""
     SELECT {_ROUTINE_SQL}, definition AS routine_definition, uses_for_xml, uses_cursor,
            incompatible_type FROM x_routines WHERE uses_for_xml = 1 OR uses_cursor = 1""")
 def rule_routines(spark: SparkSession, d: str) -> DataFrame:
-    findings = _gold(spark, d)[1]["routine_findings"]
-    return _routine(rules.incompatible_routines(findings), "uses_for_xml", "uses_cursor",
+    return _routine(_rules(spark, d)["incompatible_routines"], "uses_for_xml", "uses_cursor",
                     "incompatible_type")
 
 
