@@ -47,11 +47,15 @@ def read_all(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str,
 
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected raw texts) of a CSV or JSON snapshot."""
-    # Spark can only filter on the reject column together with a data column.
-    rows = df.withColumn("_bad", F.col(REJECT).isNotNull())
-    return (rows.filter(~F.col("_bad")).drop(REJECT, "_bad"),
-            rows.filter("_bad").select(REJECT))
+    """(good rows, rejected texts) of a CSV or JSON snapshot.
+
+    Rejected are rows that did not parse and rows that do not say which server they
+    are from.
+    """
+    data = [c for c in df.columns if c != REJECT]
+    bad = F.col(REJECT).isNotNull() | F.col("server_id").isNull()
+    text = F.coalesce(REJECT, F.to_json(F.struct(*data)))
+    return df.filter(~bad).select(*data), df.filter(bad).select(text.alias(REJECT))
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
