@@ -20,12 +20,11 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def snapshot_path(spark, tmp_path_factory):
+def snapshot_path(tmp_path_factory):
     """Folder with the snapshot of a small hand-written estate."""
-    from estate import snapshot
+    from estate import write_snapshot
     path = str(tmp_path_factory.mktemp("snapshot"))
-    for name, df in snapshot(spark).items():
-        df.coalesce(1).write.parquet(f"{path}/{name}")
+    write_snapshot(path)
     return path
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from estatescope.sources.schemas import BRONZE
@@ -223,10 +227,9 @@ def _rows() -> dict[str, list[dict]]:
     return t
 
 
-def snapshot(spark):
-    tables = {}
+def write_snapshot(path: str) -> None:
+    """One parquet file per catalog view."""
     for name, rows in _rows().items():
-        schema = StructType.fromDDL(BRONZE[name])
-        tables[name] = spark.createDataFrame(
-            [tuple(r.get(f) for f in schema.names) for r in rows], schema)
-    return tables
+        schema = to_arrow_schema(StructType.fromDDL(BRONZE[name]))
+        os.makedirs(f"{path}/{name}")
+        pq.write_table(pa.Table.from_pylist(rows, schema), f"{path}/{name}/part.parquet")

@@ -15,7 +15,13 @@ AS_OF = dt.datetime(2024, 1, 1, 0, 0, 2)
 
 
 class Layers:
-    def __init__(self, estate, mode):
+    """The layers of one mode; inventory and gold are stored like in a real run."""
+
+    def __init__(self, spark, estate, mode, folder):
+        self.s, failed = collect_all(spark, inventory_jobs(estate, F.lit(AS_OF), mode),
+                                     f"{folder}/inventory")
+        self.g, more = collect_all(spark, gold_jobs(self.s, mode), f"{folder}/gold")
+        assert not failed.union(more).collect()
         self.r = evaluate(rule_jobs(self.g)).all()
         self.out = reports(self.g, self.s, mode)
 
