@@ -59,6 +59,17 @@ CURSOR_PATTERN = "%declare%cursor%"
 # A default that calls a function.
 CALL_DEFAULT_PATTERN = "%()%"
 
+# Version text of a server that reports none, and the patterns of the generations.
+UNKNOWN_VERSION = "Microsoft SQL Server 2000"
+GENERATIONS = {
+    "azure": "microsoft sql azure%",
+    "2000": "microsoft sql server 2000%",
+    "2005": "microsoft sql server 2005%",
+    "2008": "microsoft sql server 2008%",
+    "2012": "microsoft sql server 2012%",
+}
+CLOUD_PATTERN = "%azure%"
+
 # Server versions (LIKE patterns).
 GROUP_VERSIONS = ["%2012%", "%2014%", "%2016%", "%2017%", "%2019%"]
 VOLUME_VERSIONS = ["%2008%", "%2012%", "%2014%", "%2016%", "%2017%", "%2019%"]

@@ -36,6 +36,19 @@ def left_first(left: DataFrame, right: DataFrame, on: Sequence[str],
     return left.join(first_per_group(right, on, order), list(on), "left")
 
 
+def left_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], present: Column,
+                scatter_by: Sequence[str]) -> DataFrame:
+    """Left join to one row per key, where many left rows have no key at all.
+
+    Rows for which ``present`` does not hold cannot match.  They would all share one key
+    (NULL or a placeholder) and meet in one task, so they are scattered by ``scatter_by``.
+    """
+    nowhere = F.pmod(F.xxhash64(*scatter_by), F.lit(1_000_003)) + 1
+    keyed = left.withColumn("_scatter", F.when(present, F.lit(0)).otherwise(nowhere))
+    return (keyed.join(right.withColumn("_scatter", F.lit(0).cast("long")),
+                       [*on, "_scatter"], "left").drop("_scatter"))
+
+
 def left_where(left: DataFrame, right: DataFrame, on: Sequence[str], condition: Column) -> DataFrame:
     """Left join with an extra condition on the right side, applied before the join."""
     return left.join(right.filter(condition), list(on), "left")

@@ -18,7 +18,7 @@ from estatescope.functions.schedule import frequency_name, schedule_description,
 from estatescope.operators.aggregates import ordered_names, sequence_gap
 from estatescope.operators.filters import any_like, eligible_databases, only_for, rows_not_in
 from estatescope.operators.joins import (
-    disjunctive_join, first_per_group, left_where, not_loaded, rollup_left, update_from,
+    disjunctive_join, first_per_group, left_lookup, left_where, not_loaded, rollup_left, update_from,
 )
 from estatescope.operators.windows import share_of_total, top_n_per_group
 from estatescope.sources.schemas import DATABASE_FLAGS, MIRRORING_FIELDS
@@ -38,11 +38,9 @@ __all__ = [
 
 def version_family(version: Column) -> Column:
     """Server generation: 2000, 2005, 2008, 2012, azure or latest."""
-    v = F.coalesce(version, F.lit("Microsoft SQL Server 2000"))
-    out = F.when(like_ci(v, "microsoft sql azure%"), "azure")
-    for year in ("2000", "2005", "2008", "2012"):
-        out = out.when(like_ci(v, f"microsoft sql server {year}%"), year)
-    return out.otherwise("latest")
+    v = F.coalesce(version, F.lit(fv.UNKNOWN_VERSION))
+    known = [F.when(like_ci(v, pattern), name) for name, pattern in fv.GENERATIONS.items()]
+    return F.coalesce(*known, F.lit("latest"))
 
 
 # ---------------------------------------------------------------- server level
@@ -54,7 +52,7 @@ def load_servers(servers: DataFrame, props: DataFrame) -> DataFrame:
     """
     known = servers.select(name_key(F.col("server_name")).alias("_name"),
                            version_family(F.col("version")).alias("_family"),
-                           like_ci(F.col("version"), "%azure%").alias("_azure"))
+                           like_ci(F.col("version"), fv.CLOUD_PATTERN).alias("_azure"))
     family = F.when(F.coalesce("_azure", F.lit(False)), "azure").otherwise(F.col("_family"))
     since_2005 = ["2005", "2008", "2012", "latest"]
     newest = ["2012", "latest"]
@@ -111,7 +109,7 @@ def load_availability_groups(groups: DataFrame, replicas: DataFrame, group_state
                              replica_states: DataFrame, servers: DataFrame) -> DataFrame:
     """Replicas of each availability group, on servers whose generation has them."""
     able = servers.filter(any_like(F.col("version"), fv.GROUP_VERSIONS)
-                          & ~like_ci(F.col("edition"), "%azure%")).select("server_id")
+                          & ~like_ci(F.col("edition"), fv.CLOUD_PATTERN)).select("server_id")
     group, replica = ["server_id", "group_id"], ["server_id", "replica_id"]
     primary = F.coalesce(
         F.lower("primary_replica") == F.lower("replica_server_name"), F.lit(False))
@@ -158,7 +156,7 @@ def load_top_wait(waits: DataFrame, ignore: list[str] = fv.IGNORED_WAITS, n: int
 def load_volumes(files: DataFrame, volume_stats: DataFrame, servers: DataFrame) -> DataFrame:
     """Distinct volumes that hold database files, with sizes in whole GB."""
     able = servers.filter(any_like(F.col("version"), fv.VOLUME_VERSIONS)
-                          & ~like_ci(F.col("version"), "microsoft sql azure%")).select("server_id")
+                          & ~like_ci(F.col("version"), fv.GENERATIONS["azure"])).select("server_id")
     # A file is one row per key, so a semi join is enough and multiplies nothing.
     held = volume_stats.join(files.select(*DB, "file_id"), [*DB, "file_id"], "left_semi")
     return (held.join(able, "server_id")
@@ -201,11 +199,12 @@ def load_jobs(jobs: DataFrame, steps: DataFrame, jobschedules: DataFrame, schedu
                              F.col("email_address").alias("operator_email_address"))
     owners = logins.select("server_id", F.col("sid").alias("owner_sid"),
                            F.col("loginname").alias("owner"))
+    df = (jobs.join(start_steps, ["server_id", "job_id", "start_step_id"], "left")
+          .join(_job_schedules(jobschedules, schedules), ["server_id", "job_id"], "left"))
+    df = left_lookup(df, staff, ["server_id", "notify_email_operator_id"],
+                     F.col("notify_email_operator_id").isNotNull(), ["job_id"])
     return (
-        jobs.join(start_steps, ["server_id", "job_id", "start_step_id"], "left")
-        .join(_job_schedules(jobschedules, schedules), ["server_id", "job_id"], "left")
-        .join(staff, ["server_id", "notify_email_operator_id"], "left")
-        .join(owners, ["server_id", "owner_sid"], "left")
+        df.join(owners, ["server_id", "owner_sid"], "left")
         .select("server_id", "job_id", F.col("name").alias("job_name"), "description",
                 F.col("enabled").alias("is_enabled"), "schedule_dscr", "operator",
                 "operator_enabled", "operator_email_address", "owner", "start_step_name",
@@ -445,18 +444,20 @@ def load_database_objects(b: dict[str, DataFrame], databases: DataFrame,
         _created=named("datecreated"), _rv=named("rv"), _source=named("sourcerv"))
     df = df.join(published, OBJ, "left").join(sequences, OBJ, "left")
 
-    # Texts by name: the four sources hold disjoint kinds, so one join serves all.
+    # A sequence's table carries its name without "_seq".
+    is_sequence = F.col("xtype") == "SO"
+    df = df.withColumn("_parent_key", F.when(
+        is_sequence, F.replace("object_key", F.lit("_seq"), F.lit(""))))
+    df = left_lookup(df, _sequence_parents(b), [*DB, "_parent_key"], is_sequence, ["object_id"])
+
+    # Texts by name: the four sources hold disjoint kinds, so one join serves all.  It comes
+    # last, so that no text is shuffled for another join.
     df = (df.withColumn("_source_kind", F.when(F.col("xtype").isin("P", "FN", "IF", "TF"), "R")
                         .when(F.col("xtype").isin("V", "C", "F"), F.col("xtype")))
           .withColumn("_text_schema", F.when(F.col("_source_kind").isin("R", "V"),
                                              F.col("schema_key")).otherwise(""))
           .join(_texts(b), [*DB, "_source_kind", "_text_schema", "object_key"], "left"))
 
-    # A sequence's table carries its name without "_seq".
-    df = (df.withColumn("_parent_key", F.when(
-              F.col("xtype") == "SO", F.replace("object_key", F.lit("_seq"), F.lit(""))))
-          .join(_sequence_parents(b), [*DB, "_parent_key"], "left"))
-
     rows = F.when(is_table, F.col("_rows"))
     return df.select(
         *OBJ, F.col("name").alias("object_name"), "schema_name", "xtype",
@@ -536,10 +537,13 @@ def load_columns(b: dict[str, DataFrame], databases: DataFrame, objects: DataFra
         *DB, F.col("object_id").alias("default_object_id"),
         F.col("definition").alias("column_default"))
     loaded = objects.select(*NAMED, F.col("object_id").alias("_loaded_id"))
+    # Most columns have no default (0), so that join must not gather them.
+    typed = tables.join(b["columns"], OBJ).join(types.select(*DB, type_id, "_type"),
+                                                [*DB, type_id])
+    has_default = F.coalesce("default_object_id", F.lit(0)) != 0
     return (
-        tables.join(b["columns"], OBJ)
-        .join(types.select(*DB, type_id, "_type"), [*DB, type_id])
-        .join(defaults, [*DB, "default_object_id"], "left")
+        left_lookup(typed, defaults, [*DB, "default_object_id"], has_default,
+                    ["object_id", "column_id"])
         .withColumn("schema_key", name_key(F.col("table_schema")))
         .withColumn("object_key", name_key(F.col("table_name")))
         .join(loaded, NAMED, "left")

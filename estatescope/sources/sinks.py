@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from estatescope.sources.schemas import SILVER
 
@@ -26,15 +26,16 @@ def refresh(df: DataFrame, path: str, server_ids: Sequence[int] | None = None) -
     if server_ids is None:
         df.write.mode("overwrite").partitionBy("server_id").parquet(path)
         return
-    wanted = df.filter(F.col("server_id").isin(list(server_ids)))
+    seen = Observation()
+    wanted = df.filter(F.col("server_id").isin(list(server_ids))).observe(
+        seen, *[F.max(F.col("server_id") == i).alias(f"has_{i}") for i in server_ids])
     (wanted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("server_id").parquet(path))
-    # Overwriting by partition leaves out servers without fresh rows.  The ids come
-    # from the caller, so this list is as short as the request.
-    seen = {r.server_id for r in wanted.select("server_id").distinct().collect()}
-    for gone in set(server_ids) - seen:
-        (wanted.filter("false").drop("server_id")
-         .write.mode("overwrite").parquet(f"{path}/server_id={gone}"))
+    # Overwriting by partition leaves out servers without fresh rows.  Which those are was
+    # observed while writing, so nothing is computed twice.
+    for gone in (i for i in server_ids if not seen.get[f"has_{i}"]):
+        empty = df.sparkSession.createDataFrame([], df.drop("server_id").schema)
+        empty.write.mode("overwrite").parquet(f"{path}/server_id={gone}")
 
 
 def clear(spark: SparkSession, path: str, name: str) -> None:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from estatescope.operators.aggregates import distinct_names, ordered_names, sequence_gap, size_buckets
 from estatescope.operators.joins import (
-    disjunctive_join, first_per_group, left_first, not_loaded, rollup_left, update_from,
+    disjunctive_join, first_per_group, left_first, left_lookup, not_loaded, rollup_left,
+    update_from,
 )
 from estatescope.operators.matching import all_matches, first_match, reference_tokens
 from estatescope.operators.windows import share_of_total
@@ -119,6 +120,15 @@ def test_rollup_left_keeps_every_left_row(spark):
     assert rows(got, "k", "total", "n") == [(1, 11, 2), (2, None, None)]
 
 
+def test_left_lookup_scatters_rows_without_key(spark):
+    left = spark.createDataFrame([(i, 7 if i < 3 else None if i < 6 else 0) for i in range(10)],
+                                 "id int, k int")
+    right = spark.createDataFrame([(7, "seven"), (0, "never")], "k int, v string")
+    got = left_lookup(left, right, ["k"], F.coalesce("k", F.lit(0)) != 0, ["id"])
+    assert rows(got, "id", "v") == sorted(
+        [(i, "seven" if i < 3 else None) for i in range(10)], key=repr)
+
+
 def test_firsts(spark):
     df = spark.createDataFrame([(1, 3), (1, 2), (2, 9)], "k int, v int")
     assert rows(first_per_group(df, ["k"], [F.asc("v")]), "k", "v") == [(1, 2), (2, 9)]
