@@ -88,14 +88,15 @@ def _with_stretches(texts: DataFrame, keys: Sequence[str], suffixes: Sequence[st
     return reduce(DataFrame.unionByName, frames)
 
 
-def _distinct_terms(terms: DataFrame, term_col: str, scope: Sequence[str]) -> DataFrame:
+def _distinct_terms(terms: DataFrame, term_col: str, by: Sequence[str]) -> DataFrame:
     return (terms.filter(F.length(term_col) > 0)
-            .groupBy(*scope, F.lower(term_col).alias("_term"))
+            .groupBy(*by, F.lower(term_col).alias("_term"))
             .agg(F.min(term_col).alias(term_col)))
 
 
 def _hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str,
-          term_col: str, suffixes: Sequence[str], scope: Sequence[str]) -> DataFrame:
+          term_col: str, suffixes: Sequence[str], scope: Sequence[str],
+          kinds: Sequence[str]) -> DataFrame:
     columns = list(dict.fromkeys([*keys, *scope]))
     # What the tasks must know of the terms reaches them as two small arrays: the lengths
     # that occur, and how often a term holds each mark.
@@ -111,32 +112,33 @@ def _hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str
                 .select(*columns, "_text", F.col("_shape.lengths").alias("_lengths"),
                         F.col("_shape.spans").alias("_spans")))
     return (_with_stretches(prepared, columns, suffixes)
-            .join(_distinct_terms(terms, term_col, scope), [*scope, "_term"])
-            .select(*keys, term_col))
+            .join(_distinct_terms(terms, term_col, [*scope, *kinds]), [*scope, "_term"])
+            .select(*keys, *kinds, term_col))
 
 
 def all_matches(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str,
                 term_col: str, suffixes: Sequence[str] = SUFFIXES,
-                scope: Sequence[str] = ()) -> DataFrame:
-    """One row per text and term found in it: ``keys`` + ``term_col``.
+                scope: Sequence[str] = (), kinds: Sequence[str] = ()) -> DataFrame:
+    """One row per text and term found in it: ``keys``, ``kinds`` and ``term_col``.
 
     ``keys`` identify a text.  Comparison is without case.  ``scope`` names columns
-    that must be equal on both sides (a server's texts against its own terms).
+    that must be equal on both sides (a server's texts against its own terms), ``kinds``
+    columns of the terms that tell several sets of terms apart, searched in one pass.
     Empty and NULL terms never match.  Terms that differ only in case are one term,
     reported in their first spelling.
     """
-    return _hits(texts, terms, keys, text_col, term_col, suffixes, scope).distinct()
+    return _hits(texts, terms, keys, text_col, term_col, suffixes, scope, kinds).distinct()
 
 
 def first_match(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str,
                 term_col: str, suffixes: Sequence[str] = SUFFIXES,
-                scope: Sequence[str] = ()) -> DataFrame:
-    """One row per text that holds any term, with the smallest such term.
+                scope: Sequence[str] = (), kinds: Sequence[str] = ()) -> DataFrame:
+    """One row per text (and kind) that holds any term, with the smallest such term.
 
     The minimum is taken inside the task that reads the text before anything moves.
     """
-    return (_hits(texts, terms, keys, text_col, term_col, suffixes, scope)
-            .groupBy(*keys).agg(F.min(term_col).alias(term_col)))
+    return (_hits(texts, terms, keys, text_col, term_col, suffixes, scope, kinds)
+            .groupBy(*keys, *kinds).agg(F.min(term_col).alias(term_col)))
 
 
 def reference_tokens(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str,

@@ -72,10 +72,10 @@ def gold_jobs(s: Tables, mode: str = "reference") -> Jobs:
         "top_wait_view": lambda g: views.top_wait_view(s),
         "routine_findings": lambda g: rules.routine_findings(g["objects_view"]),
         "column_findings": lambda g: rules.column_findings(g["columns_view"], mode),
-        "cross_server_hits": lambda g: rules.cross_server_hits(
-            g["objects_view"], s["linked_servers"], mode),
-        "cross_database_hits": lambda g: rules.cross_database_hits(
-            g["objects_view"], s["databases"], mode),
+        "reference_hits": lambda g: rules.reference_hits(
+            g["objects_view"], s["linked_servers"], s["databases"], mode),
+        "cross_server_hits": lambda g: rules.cross_server_hits(g["reference_hits"]),
+        "cross_database_hits": lambda g: rules.cross_database_hits(g["reference_hits"]),
     }
 
 

@@ -25,30 +25,36 @@ _COLUMN = [*DB, "database_name", "table_schema", "table_catalog", "table_name",
 _FOUND_IN = [*NAMED, "database_name", "xtype", "schema_name", "object_name"]
 
 
-def cross_server_hits(objects_view: DataFrame, linked_servers: DataFrame,
-                      mode: str = "reference", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """Routines (without their text) whose text names one of their server's linked servers.
-
-    ``reference`` keeps one name per routine (the first), ``intended`` all of them.
+def reference_hits(objects_view: DataFrame, linked_servers: DataFrame, databases: DataFrame,
+                   mode: str = "reference",
+                   suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Routines (without their text) and the linked servers and databases their text names.
+
+    Both kinds of names are searched in one pass over the texts, each text only for
+    names of its own server.  ``reference`` keeps one name per routine and kind (the first)
+    and then drops it if it is the routine's own database; ``intended`` keeps every
+    name but that.
     """
     find = first_match if mode == "reference" else all_matches
-    return find(objects_view, linked_servers, _FOUND_IN, "routine_definition", "linked_server",
-                suffixes, ["server_id"])
+    names = linked_servers.select(
+        "server_id", F.lit("server").alias("refers_to"), F.col("linked_server").alias("name")
+    ).unionByName(databases.select(
+        "server_id", F.lit("database").alias("refers_to"), F.col("database_name").alias("name")))
+    hits = find(objects_view, names, _FOUND_IN, "routine_definition", "name", suffixes,
+                ["server_id"], ["refers_to"])
+    own = ((F.col("refers_to") == "database")
+           & (name_key(F.col("name")) == name_key(F.col("database_name"))))
+    return hits.filter(~own)
 
 
-def cross_database_hits(objects_view: DataFrame, databases: DataFrame,
-                        mode: str = "reference",
-                        suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """Routines (without their text) whose text names another database of their server.
+def cross_server_hits(hits: DataFrame) -> DataFrame:
+    return (hits.filter(F.col("refers_to") == "server").drop("refers_to")
+            .withColumnRenamed("name", "linked_server"))
 
-    ``reference`` keeps the first name per routine and then drops it if it is the
-    routine's own database; ``intended`` keeps every name but the own.
-    """
-    find = first_match if mode == "reference" else all_matches
-    terms = databases.select("server_id", F.col("database_name").alias("x_database_name"))
-    hits = find(objects_view, terms, _FOUND_IN, "routine_definition", "x_database_name", suffixes,
-                ["server_id"])
-    return hits.filter(name_key(F.col("x_database_name")) != name_key(F.col("database_name")))
+
+def cross_database_hits(hits: DataFrame) -> DataFrame:
+    return (hits.filter(F.col("refers_to") == "database").drop("refers_to")
+            .withColumnRenamed("name", "x_database_name"))
 
 
 def with_text(hits: DataFrame, objects_view: DataFrame) -> DataFrame:
