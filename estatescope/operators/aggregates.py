@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from estatescope.functions.fixed_values import SIZE_LIMITS
-from estatescope.functions.scalars import whole_div  # noqa: F401
 
 
 def count_if(condition: Column) -> Column:

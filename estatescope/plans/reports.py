@@ -72,6 +72,23 @@ def top_sql_report(g: Tables) -> DataFrame:
         .orderBy(F.desc("TotalWorkerTime"), "DatabaseName", "SPName"))
 
 
+def _named_by(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: number of references to servers and databases, and their distinct names.
+
+    ``tempdb`` is not reported as a called database.  Rows are counted per name first.
+    """
+    per_name = hits.groupBy(*by, "refers_to", "name").agg(F.count(F.lit(1)).alias("_n"))
+    server = F.col("refers_to") == "server"
+    called = (F.col("refers_to") == "database") & (name_key(F.col("name")) != "tempdb")
+
+    def listed(condition: Column) -> Column:
+        return F.array_join(F.sort_array(F.collect_list(F.when(condition, F.col("name")))), ",")
+
+    return per_name.groupBy(*by).agg(
+        F.sum(F.when(server, F.col("_n"))).alias("_xs"), listed(server).alias("_xs_list"),
+        F.sum(F.when(called, F.col("_n"))).alias("_xo"), listed(called).alias("_xo_list"))
+
+
 def databases_report(g: Tables, s: Tables) -> DataFrame:
     """One row per user database: sizes, classes, objects, findings and references."""
     df = g["databases_view"].filter(not_system())
@@ -86,15 +103,13 @@ def databases_report(g: Tables, s: Tables) -> DataFrame:
         _kinds=F.sum(F.when(found, 1).otherwise(0)))
     df = rollup_left(df, s["sequences"], DB, _sequences=F.count(F.lit(1)))
 
-    linked = distinct_names(g["cross_server_hits"], DB, "linked_server", "_xs", "_xs_list")
-    calls = g["cross_database_hits"]
-    outgoing = distinct_names(
-        calls.filter(name_key(F.col("x_database_name")) != "tempdb"), DB, "x_database_name",
-        "_xo", "_xo_list")
+    hits = g["reference_hits"]
     incoming = distinct_names(
-        calls.withColumn("_name", name_key(F.col("x_database_name"))),
+        hits.withColumn("_name", F.when(F.col("refers_to") == "database",
+                                        name_key(F.col("name"))))
+        .filter(F.col("_name").isNotNull()),
         ["server_id", "_name"], "database_name", "_xi", "_xi_list")
-    df = (df.join(linked, DB, "left").join(outgoing, DB, "left")
+    df = (df.join(_named_by(hits, DB), DB, "left")
           .withColumn("_name", name_key(F.col("database_name")))
           .join(incoming, ["server_id", "_name"], "left"))
 
@@ -169,18 +184,14 @@ def indexes_report(s: Tables) -> DataFrame:
 
 def routines_report(g: Tables) -> DataFrame:
     """Every object but tables, with the servers and databases its text names."""
-    servers = distinct_names(g["cross_server_hits"], NAMED, "linked_server",
-                             "_n", "_servers").drop("_n")
-    calls = g["cross_database_hits"].filter(name_key(F.col("x_database_name")) != "tempdb")
-    called = distinct_names(calls, NAMED, "x_database_name", "_n", "_called").drop("_n")
     return (
         g["routine_findings"].filter(F.col("xtype") != "U")
-        .join(servers, NAMED, "left").join(called, NAMED, "left")
+        .join(_named_by(g["reference_hits"], NAMED), NAMED, "left")
         .select(*_headed(
             DatabaseName="database_name", SchemaName="schema_name", Xtype="xtype",
             TypeDesc="type_desc", ObjectName="object_name",
-            SQL_DATA_ACCESS=_blank("sql_data_access"), LinkedServers=_blank("_servers"),
-            XOutDbs=_blank("_called"), UsesForXML="uses_for_xml", UsesCursor="uses_cursor",
+            SQL_DATA_ACCESS=_blank("sql_data_access"), LinkedServers=_blank("_xs_list"),
+            XOutDbs=_blank("_xo_list"), UsesForXML="uses_for_xml", UsesCursor="uses_cursor",
             IncompatibleType="incompatible_type", ROUTINE_DEFINITION="routine_definition"))
         .orderBy("DatabaseName", "SchemaName", "Xtype", "TypeDesc", "ObjectName"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from estatescope.functions.scalars import kind_code, name_key, whole_div
 from estatescope.sources import collectors as c
-from estatescope.star.bronze import AS_OF, DB, KINDS, Star, _pick
+from estatescope.star.bronze import AS_OF, DB, Star, _pick
 
 COLUMN_TYPES = ["int", "varchar (20)", "varchar(max)", "nvarchar (max)", "text", "xml",
                 "geography", "decimal (18,2)"]

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from estate import EMPTY, MYSALES, NEW, OLD, SALES, STAGE
+from estate import EMPTY, MYSALES, NEW, OLD, SALES
 from estatescope.plans.assessment import evaluate, gold_jobs, inventory_jobs, rule_jobs
 from estatescope.plans.reports import reports
 from estatescope.sources.schemas import SILVER
@@ -303,4 +303,3 @@ def test_column_store_flag(ref, meant):
 def test_names_do_not_cross_servers(ref):
     far = ref.g["cross_database_hits"].filter(F.col("server_id") == OLD)
     assert far.count() == 0
-    assert STAGE != SALES
