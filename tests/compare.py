@@ -64,7 +64,8 @@ def main() -> None:
     path, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session("local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": os.environ.get("COMPARE_MEMORY", "8g"),
+        "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(path), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
