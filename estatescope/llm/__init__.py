@@ -4,7 +4,9 @@ One module per operator.  Each operator takes and returns DataFrames and works o
 the named columns; the query at the end of its module applies it to the whole of ``documents``.
 """
 
-from estatescope.llm import decontamination, language, pii, quality, secrets  # noqa: F401
+from estatescope.llm import (  # noqa: F401
+    decontamination, language, pii, quality, secrets, simhash, substrings, suffixes,
+)
 from estatescope.llm.registry import QUERIES, SQL, Query
 
 
