@@ -5,7 +5,7 @@ the named columns; the query at the end of its module applies it to the whole of
 """
 
 from estatescope.llm import (  # noqa: F401
-    decontamination, language, pii, quality, secrets, simhash, substrings, suffixes,
+    decontamination, language, mixing, pii, quality, secrets, sharding, simhash, substrings, suffixes,
 )
 from estatescope.llm.registry import QUERIES, SQL, Query
 
