@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from estatescope.llm.registry import query, read
+from estatescope.llm.simhash import tie_of
 from estatescope.llm.texts import Prefix, flat, lowest, mixed, pieces, word_spans
 from estatescope.workspace import stored, work_folder
 
@@ -132,15 +133,17 @@ def _filter_of(marks: DataFrame) -> np.ndarray:
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                        text: str = "text", item_id: str = "item_id", item_text: str = "text",
                        ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (doc_id, n_words, text_key), hit spans of word numbers (text_key, start, end) and items
-    found (text_key, item_id).  ``text_key`` stands for the text, so copies are searched for once."""
+    """Documents (doc_id, tie, n_words, text_key), hit spans of word numbers (text_key, start, end) and items
+    found (text_key, item_id).  ``text_key`` stands for the text, so copies are searched for once; ``tie`` is a hash
+    of it that Spark computes."""
     spark = docs.sparkSession
     folder = work_folder(spark, "decontamination")
     item_rows = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     marks = stored(item_marks(item_rows), f"{folder}/items")
     lengths = sorted(r.length for r in marks.select("length").distinct().collect())  # 1 to LENGTH
     bits = spark.sparkContext.broadcast(_filter_of(marks))
-    doc_rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    doc_rows = docs.select(F.col(doc_id).alias("doc_id"), tie_of(text).alias("tie"),
+                           F.col(text).cast("string").alias("text"))
     key = doc_rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +161,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
             empty = [pa.nulls(n, x.type) for x in _mark_arrays(rows)]
             columns = [
                 pa.concat_arrays([piece.column("doc_id"), pa.nulls(m, piece.column("doc_id").type)]),
+                pa.concat_arrays([piece.column("tie"), pa.nulls(m, pa.int64())]),
                 pa.concat_arrays([pa.array(n_words, pa.int64()), pa.nulls(m, pa.int64())]),
                 pa.concat_arrays([keys, keys.take(at)]).cast(pa.binary()),
                 *[pa.concat_arrays([a, b]) for a, b in zip(empty, _mark_arrays(rows), strict=True)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "text_key", *_NAMES])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "n_words", "text_key", *_NAMES])
 
-    scanned = doc_rows.mapInArrow(scan, f"doc_id {key}, n_words bigint, text_key binary, {_MARK}")
+    scanned = doc_rows.mapInArrow(scan, f"doc_id {key}, tie bigint, n_words bigint, text_key binary, {_MARK}")
     scanned = stored(scanned.withColumn("kind", F.when(F.col("hash").isNull(), "text").otherwise("mark")),
                      f"{folder}/documents", "kind")
-    texts = scanned.where("kind = 'text'").select("doc_id", "n_words", "text_key")
+    texts = scanned.where("kind = 'text'").select("doc_id", "tie", "n_words", "text_key")
     found = scanned.where("kind = 'mark'").select("text_key", *_NAMES).distinct()
 
     # Items that agree in a fingerprint and all words around it are one class: one comparison.
@@ -213,10 +217,20 @@ def contamination(docs: DataFrame, items: DataFrame, **columns: str) -> DataFram
     named = items_found.groupBy("text_key").agg(
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return texts.join(hit, "text_key", "left").join(named, "text_key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        "doc_id", "tie", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+          **columns: str) -> DataFrame:
+    """The rows of ``docs`` that share no span with an item."""
+    dirty = contamination(docs, items, doc_id=doc_id, text=text, **columns).where("n_hit > 0") \
+        .select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    dirty = stored(dirty, work_folder(docs.sparkSession, "contaminated"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (tie_of(text) == F.col("_tie"))
+    return docs.join(dirty, same, "left_anti")
+
+
 def _running(key: str, *order: str):
     from pyspark.sql import Window
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

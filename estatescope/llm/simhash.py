@@ -59,19 +59,25 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return sum(1 << int(b) for b in chosen)
 
 
+def tie_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """(doc_id, tie, fp): fp is the fingerprint's 64 bits as a signed number, tie a hash of the text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tie_of(text).alias("tie"),
+                       F.col(text).cast("string").alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             found = np.array([fingerprint(t, size) for t in piece.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                [piece.column("doc_id"), piece.column("tie"), pa.array(found.view(np.int64))],
+                ["doc_id", "tie", "fp"])
 
-    return rows.mapInArrow(scan, f"doc_id {key}, fp bigint")
+    return rows.mapInArrow(scan, f"doc_id {key}, tie bigint, fp bigint")
 
 
 def _top(value: Column | str, bits: int) -> Column:
@@ -259,7 +265,8 @@ def links(values: DataFrame, folder: str, leaf: int = LEAF, errors: int = ERRORS
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                errors: int = ERRORS, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id that each document reaches over links."""
+    """(doc_id, tie, fp, root, component_id): the least doc_id that each document reaches over links; root is
+    the component's own name, a fingerprint."""
     folder = work_folder(docs.sparkSession, "simhash")
     marked = stored(fingerprints(docs, doc_id, text, size), f"{folder}/fingerprints")
     leaves = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/leaves")
@@ -267,8 +274,26 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     rooted = leaves.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stored(rooted.join(named, "root").select("fp", "root", "component_id"), f"{folder}/classes")
+    return marked.join(classes, "fp").select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` of each component: that of the least doc_id (null ids last; equal ids: by text)."""
+    found = components(docs, doc_id, text, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("x")).select(
+            F.col("x.doc_id").alias("_id"), F.col("x.tie").alias("_tie"))
+    first = stored(first, work_folder(docs.sparkSession, "representatives"))
+    repeated = found.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
+        F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = stored(repeated, work_folder(docs.sparkSession, "repeated-rows"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (tie_of(text) == F.col("_tie"))
+    kept = docs.join(first, same, "left_semi")
+    again = kept.join(repeated, same, "left_semi").withColumn("_tie", tie_of(text)) \
+        .dropDuplicates([doc_id, "_tie"]).select(*names)
+    return kept.join(repeated, same, "left_anti").select(*names).union(again)
 
 
 @query("op3_simhash")
