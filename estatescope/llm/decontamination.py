@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from estatescope.llm.registry import query, read
 from estatescope.llm.simhash import tie_of
-from estatescope.llm.texts import Prefix, flat, lowest, mixed, pieces, word_spans
+from estatescope.llm.texts import Prefix, flat, lowest, mixed, packed, pieces, word_spans
 from estatescope.workspace import stored, work_folder
 
 #: A span of so many words is contamination; the k-grams that are hashed have at most GRAM words.
@@ -225,10 +225,11 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
           **columns: str) -> DataFrame:
     """The rows of ``docs`` that share no span with an item."""
     dirty = contamination(docs, items, doc_id=doc_id, text=text, **columns).where("n_hit > 0") \
-        .select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+        .select("doc_id", "tie").distinct()
     dirty = stored(dirty, work_folder(docs.sparkSession, "contaminated"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (tie_of(text) == F.col("_tie"))
-    return docs.join(dirty, same, "left_anti")
+    own = packed(docs, id=F.col(doc_id), tie=tie_of(text))
+    same = own["id"].eqNullSafe(dirty["doc_id"]) & (own["tie"] == dirty["tie"])
+    return own.join(dirty, same, "left_anti").select("row.*")
 
 
 def _running(key: str, *order: str):

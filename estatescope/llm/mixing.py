@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from estatescope.llm.registry import query, read
 from estatescope.llm.sharding import _running
+from estatescope.llm.texts import packed
 from estatescope.workspace import stored, work_folder
 
 #: Words of a block, output shards, and the most often that a source is taken.
@@ -220,12 +221,12 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = spans.join(numbered, "row").select(
         F.col("tie").alias("_tie"), F.col("of").alias("_of"), F.col("number").alias("_number"),
         "_spans", (F.col("_words") == F.col("size")).alias("_whole"))
-    own = docs.withColumns({"_tie": tie_of(F.col(doc_id), F.col(text)),
-                            "_of": F.xxhash64(F.col(source).cast("string"))})
+    own = packed(docs, _tie=tie_of(F.col(doc_id), F.col(text)), _of=F.xxhash64(F.col(source).cast("string")),
+                 _text=F.col(text).cast("string"))
     own = own.withColumn("_number", counted([F.col("_tie"), F.col("_of")], F.col("_tie")))
     taken = own.join(spans, ["_tie", "_of", "_number"])
-    return taken.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(
-        _stretches(F.col(text), F.col("_spans")))).select(*docs.columns)
+    cut = F.when(F.col("_whole"), F.col("_text")).otherwise(_stretches(F.col("_text"), F.col("_spans")))
+    return taken.select(F.col("row").withField(f"`{text}`", cut).alias("row")).select("row.*")
 
 
 def _stretches(text: Column, spans: Column) -> Column:

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from estatescope.llm.registry import query, read
-from estatescope.llm.texts import SPACES, spark_words
+from estatescope.llm.texts import SPACES, packed, spark_words
 
 
 class Rule(NamedTuple):
@@ -79,7 +79,9 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
         lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["end"])).alias("n"),
                               (i + 3).alias("end")))["n"]
     measures = {
-        "n_words": F.size(words),
+        # A condition on the verdict must stay above the measures: moved below, each would be computed anew
+        # for every use in it.  The optimizer leaves conditions above columns that take a row number along.
+        "n_words": F.when(F.monotonically_increasing_id() >= 0, F.size(words)),
         "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")),
         "n_symbols": _chars_of(t, SYMBOLS),
         "n_punctuation": _chars_of(t, PUNCTUATION),
@@ -117,13 +119,8 @@ def judged(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
 
 
 def accepted(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass every rule.
-
-    The condition takes a row number along, which is always true but keeps the optimizer from moving the
-    condition below the measures, where each of them would be computed once for each use."""
-    found = judged(docs, text, rules, "_q_").withColumn("_q_row", F.monotonically_increasing_id())
-    return found.where((F.col("_q_row") >= 0) & F.col("_q_kept")).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass every rule."""
+    return judged(packed(docs, text=F.col(text)), "text", rules).where("kept").select("row.*")
 
 
 def _sql() -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from estatescope.llm.components import connected
 from estatescope.llm.registry import query, read
-from estatescope.llm.texts import pieces
+from estatescope.llm.texts import packed, pieces
 from estatescope.workspace import stored, work_folder
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
@@ -282,18 +282,19 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row of ``docs`` of each component: that of the least doc_id (null ids last; equal ids: by text)."""
     found = components(docs, doc_id, text, **options)
     first = found.groupBy("root").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("x")).select(
-            F.col("x.doc_id").alias("_id"), F.col("x.tie").alias("_tie"))
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("x")).select("x.doc_id", "x.tie")
     first = stored(first, work_folder(docs.sparkSession, "representatives"))
-    repeated = found.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(
-        F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = found.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = stored(repeated, work_folder(docs.sparkSession, "repeated-rows"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (tie_of(text) == F.col("_tie"))
-    kept = docs.join(first, same, "left_semi")
-    again = kept.join(repeated, same, "left_semi").withColumn("_tie", tie_of(text)) \
-        .dropDuplicates([doc_id, "_tie"]).select(*names)
-    return kept.join(repeated, same, "left_anti").select(*names).union(again)
+    own = packed(docs, id=F.col(doc_id), own_tie=tie_of(text))
+
+    def beside(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["id"].eqNullSafe(keys["doc_id"]) & (rows["own_tie"] == keys["tie"]), how)
+
+    kept = beside(own, first, "left_semi")
+    once = beside(kept, repeated, "left_anti")
+    again = beside(kept, repeated, "left_semi").dropDuplicates(["id", "own_tie"])
+    return once.union(again).select("row.*")
 
 
 @query("op3_simhash")

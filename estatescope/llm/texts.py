@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A piece holds about so many bytes of text; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
@@ -31,6 +31,13 @@ def spark_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside computed keys: columns of the rows cannot clash with
+    those of a join.  ``select("row.*")`` gives the rows back."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("row"), *[c.alias(name) for name, c in keys.items()])
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str,
            limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
