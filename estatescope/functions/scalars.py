@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from estatescope.functions import fixed_values as fv
@@ -57,8 +59,13 @@ def is_key(column_name: Column, key_columns: Column) -> Column:
 
 
 def regex_match(pattern: str, text: Column) -> Column:
-    """Case-insensitive search; true, false, or NULL for NULL text."""
-    return text.rlike("(?i)" + pattern)
+    """Case-insensitive search; true, false, or NULL for NULL text and for a pattern that is none."""
+    whole = "(?i)" + pattern
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(whole)
+    except Py4JJavaError:
+        return F.lit(None).cast("boolean")
+    return text.rlike(whole)
 
 
 def default_literal(type_name: Column) -> Column:

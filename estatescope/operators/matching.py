@@ -1,14 +1,14 @@
 """Which terms occur in which texts.
 
 "Text contains term" is not an equality, and comparing every text with every
-term costs their product.  Here it is turned into an equality: a term of length
-L occurs at the end of some stretch of L characters, so the stretches of those
-lengths that occur in the text (and only the lengths the terms really have) are
-joined to the terms by hash.  The work grows with the text and with the number of
-different lengths, not with the number of terms, and a text is never shuffled.
-
-The reference use has suffixes (``name.`` and ``name].``).  Then only stretches
-in front of a suffix can match, which is a handful per text.
+term costs their product.  Here it is turned into an equality.  The usual search has
+suffixes (``name.`` and ``name].``): only stretches in front of a suffix can match, a
+handful per text, and those of the terms' lengths are joined to the terms.
+
+Without a suffix a term can stand anywhere.  Then its first ``ANCHOR`` characters (all of a shorter
+term) are looked for among the stretches of that length, piece by piece of the text; what is
+left to check of a longer term is checked in the few texts that hold its beginning.  The work grows
+with the text and with at most ``ANCHOR`` different lengths, not with the number of terms.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from estatescope.functions.scalars import in_string_count
 
 SUFFIXES = (".", "].")
+#: Characters of a term that are looked for everywhere in a text, and the pieces a text is cut into.
+ANCHOR, PIECE = 8, 4096
 
 
 def _split_at(text: Column, mark: str) -> Column:
@@ -77,17 +79,38 @@ def _with_stretches(texts: DataFrame, keys: Sequence[str], suffixes: Sequence[st
             .select(*keys, "_stem", F.explode("_lengths").alias("_n"))
             .filter(F.col("_n") <= F.length("_stem"))
             .select(*keys, F.right("_stem", F.col("_n")).alias("_term")))
-    if "" in suffixes:
-        # No suffix: every stretch of each length.  The lookahead takes _n characters from
-        # the position, the final dot moves on by one character.
-        pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("_n").cast("string"), F.lit("}))."))
-        frames.append(
-            texts.select(*keys, "_text", F.explode("_lengths").alias("_n"))
-            .select(*keys, F.explode(F.regexp_extract_all("_text", pattern, F.lit(1)))
-                    .alias("_term")))
     return reduce(DataFrame.unionByName, frames)
 
 
+def _anywhere(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per text and stretch of up to ANCHOR characters (``_start``), repeats within a piece left out.
+
+    A piece goes on into the next one, so that no stretch is cut."""
+    lengths = F.array_distinct(F.transform("_lengths", lambda n: F.least(n, F.lit(ANCHOR))))
+    cut = F.lit(r"(?s)(.{1,%d})(?=(.{0,%d}))" % (PIECE, ANCHOR - 1))
+    pieces = F.zip_with(F.regexp_extract_all("_text", cut, F.lit(1)),
+                        F.regexp_extract_all("_text", cut, F.lit(2)), lambda a, b: F.concat(a, b))
+    # The lookahead takes _n characters from the position, the final dot moves on by one.
+    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("_n").cast("string"), F.lit("}))."))
+    return (texts.select(*keys, lengths.alias("_lengths"), F.explode(pieces).alias("_piece"))
+            .select(*keys, "_piece", F.explode("_lengths").alias("_n"))
+            .select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("_piece", pattern, F.lit(1))))
+                    .alias("_start")))
+
+
+def _hits_anywhere(texts: DataFrame, distinct_terms: DataFrame, keys: Sequence[str],
+                   scope: Sequence[str]) -> DataFrame:
+    """Texts and terms of the same scope of which the text holds the whole term."""
+    begun = (_anywhere(texts, keys).join(distinct_terms.withColumn("_start", F.left("_term", F.lit(ANCHOR))),
+                                         [*scope, "_start"]).drop("_start").distinct())
+    short = begun.filter(F.length("_term") <= ANCHOR)
+    whole = texts.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "_text")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in keys])
+    long = (begun.filter(F.length("_term") > ANCHOR).join(whole, same)
+            .filter(F.contains("_text", "_term")).select(begun.columns))
+    return short.unionByName(long)
+
+
 def _distinct_terms(terms: DataFrame, term_col: str, by: Sequence[str]) -> DataFrame:
     return (terms.filter(F.length(term_col) > 0)
             .groupBy(*by, F.lower(term_col).alias("_term"))
@@ -111,9 +134,15 @@ def _hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str
                 .select(*columns, F.lower(text_col).alias("_text"), shape.alias("_shape"))
                 .select(*columns, "_text", F.col("_shape.lengths").alias("_lengths"),
                         F.col("_shape.spans").alias("_spans")))
-    return (_with_stretches(prepared, columns, suffixes)
-            .join(_distinct_terms(terms, term_col, [*scope, *kinds]), [*scope, "_term"])
-            .select(*keys, *kinds, term_col))
+    distinct_terms = _distinct_terms(terms, term_col, [*scope, *kinds])
+    found = []
+    if _marks(suffixes):
+        found.append(_with_stretches(prepared, columns, suffixes)
+                     .join(distinct_terms, [*scope, "_term"]).select(*keys, *kinds, term_col))
+    if "" in suffixes:
+        found.append(_hits_anywhere(prepared, distinct_terms, columns, scope)
+                     .select(*keys, *kinds, term_col))
+    return reduce(DataFrame.unionByName, found)
 
 
 def all_matches(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str,
@@ -143,10 +172,13 @@ def first_match(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_co
 
 def reference_tokens(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str,
                      term_col: str, scope: Sequence[str] = ()) -> DataFrame:
-    """Like ``all_matches`` for whole identifiers only: ``MyDb.`` is no match for ``Db``."""
+    """Like ``all_matches`` for whole identifiers only: ``MyDb.`` is no match for ``Db``.
+
+    In brackets any name counts: ``[SRV-01].``"""
     columns = list(dict.fromkeys([*keys, *scope]))
-    names = F.array_distinct(F.regexp_extract_all(
-        F.lower(text_col), F.lit(r"([\p{L}\p{N}_@#$]+)\]?\."), F.lit(1)))
+    bare, bracketed = (F.regexp_extract_all(F.lower(text_col), F.lit(p), F.lit(1)) for p in (
+        r"([\p{L}\p{N}_@#$]+)\.", r"\[([^\[\]]+)\]\."))
+    names = F.array_distinct(F.concat(bare, bracketed))
     found = (texts.filter(F.col(text_col).isNotNull())
              .select(*columns, F.explode(names).alias("_term")))
     return (found.join(_distinct_terms(terms, term_col, scope), [*scope, "_term"])

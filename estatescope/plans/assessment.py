@@ -7,14 +7,15 @@ so the same definitions run lazily (:func:`evaluate`) or stored one by one
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from estatescope.plans import rules, views
-from estatescope.plans.reports import reports
+from estatescope.plans.reports import report_jobs
 from estatescope.sources import collectors as c
-from estatescope.sources.sinks import collect_all
+from estatescope.sources.sinks import ERRORS, append, collect_all, failure, refresh, replace
 from estatescope.sources.snapshot import read_all
 
 Tables = dict[str, DataFrame]
@@ -70,6 +71,11 @@ def gold_jobs(s: Tables, mode: str = "reference") -> Jobs:
         "servers_view": lambda g: views.servers_view(s, g["databases_view"], mode),
         "top_sql_view": lambda g: views.top_sql_view(s),
         "top_wait_view": lambda g: views.top_wait_view(s),
+        "database_files_view": lambda g: views.database_files_view(s),
+        "availability_groups_view": lambda g: views.availability_groups_view(s),
+        "cluster_nodes_view": lambda g: views.cluster_nodes_view(s),
+        "jobs_view": lambda g: views.jobs_view(s),
+        "volumes_view": lambda g: views.volumes_view(s),
         "routine_findings": lambda g: rules.routine_findings(g["objects_view"]),
         "column_findings": lambda g: rules.column_findings(g["columns_view"], mode),
         "reference_hits": lambda g: rules.reference_hits(
@@ -118,14 +124,32 @@ def evaluate(jobs: Jobs) -> _Evaluated:
 
 def run_assessment(spark: SparkSession, snapshot: str, out: str, fmt: str = "parquet",
                    as_of: Column | None = None, mode: str = "reference",
-                   ) -> tuple[Tables, DataFrame]:
+                   server_ids: Sequence[int] | None = None) -> tuple[Tables, DataFrame]:
     """Load a snapshot, store every layer below ``out``, return the reports and the errors.
 
     A table is written before the next one reads it.  That cuts the lineage with files that
-    outlive an executor, and evaluates shared views once instead of once per report.
+    outlive an executor, and evaluates shared views once instead of once per report.  Tables are
+    partitioned by server; with ``server_ids`` only those servers' rows are loaded and replaced, and
+    the reports cover all.  A table that fails is logged and left out, and so is, with that
+    cause, whatever needs it; all other reports are returned.
     """
+    def write(df: DataFrame, path: str) -> None:
+        if "server_id" in df.columns:
+            refresh(df, path, server_ids)
+        else:
+            replace(df, path)
+
     b = read_all(spark, snapshot, fmt)
-    s, errors = collect_all(spark, inventory_jobs(b, as_of, mode), f"{out}/inventory")
-    g, more = collect_all(spark, gold_jobs(s, mode), f"{out}/gold")
-    _, rest = collect_all(spark, rule_jobs(g), f"{out}/rules")
-    return reports(g, s, mode), errors.unionByName(more).unionByName(rest)
+    s, errors = collect_all(spark, inventory_jobs(b, as_of, mode), f"{out}/inventory", write)
+    g, more = collect_all(spark, gold_jobs(s, mode), f"{out}/gold", write)
+    _, rest = collect_all(spark, rule_jobs(g), f"{out}/rules", write)
+    made, failures, now = {}, [], datetime.now()
+    for name, job in report_jobs(g, s, mode).items():
+        try:
+            made[name] = job()
+        except Exception as error:  # the reports that do not need a failed table are still made
+            failures.append(failure(error, f"report {name}", now))
+    missed = spark.createDataFrame(failures, ERRORS)
+    if failures:
+        append(missed, f"{out}/reports/exec_errors")
+    return made, errors.unionByName(more).unionByName(rest).unionByName(missed)

@@ -6,6 +6,8 @@ Reports are sorted at the very end and only here.  ``g`` is the dictionary of go
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from estatescope.functions import fixed_values as fv
@@ -208,18 +210,23 @@ def linked_servers_report(s: Tables) -> DataFrame:
         datasource="datasource"))
 
 
-def reports(g: Tables, s: Tables, mode: str = "reference") -> dict[str, DataFrame]:
-    """All reports in output order."""
+def report_jobs(g: Tables, s: Tables, mode: str = "reference") -> dict[str, Callable[[], DataFrame]]:
+    """What makes each report, in output order."""
     return {
-        "instance": instance_report(g),
-        "jobs": jobs_report(s),
-        "wait_stats": wait_report(g),
-        "top_sql": top_sql_report(g),
-        "databases": databases_report(g, s),
-        "tables": tables_report(g),
-        "columns": columns_report(g, mode),
-        "indexes": indexes_report(s),
-        "routines": routines_report(g),
-        "sequences": sequences_report(s),
-        "linked_servers": linked_servers_report(s),
+        "instance": lambda: instance_report(g),
+        "jobs": lambda: jobs_report(s),
+        "wait_stats": lambda: wait_report(g),
+        "top_sql": lambda: top_sql_report(g),
+        "databases": lambda: databases_report(g, s),
+        "tables": lambda: tables_report(g),
+        "columns": lambda: columns_report(g, mode),
+        "indexes": lambda: indexes_report(s),
+        "routines": lambda: routines_report(g),
+        "sequences": lambda: sequences_report(s),
+        "linked_servers": lambda: linked_servers_report(s),
     }
+
+
+def reports(g: Tables, s: Tables, mode: str = "reference") -> dict[str, DataFrame]:
+    """All reports in output order."""
+    return {name: job() for name, job in report_jobs(g, s, mode).items()}

@@ -64,14 +64,15 @@ def with_text(hits: DataFrame, objects_view: DataFrame) -> DataFrame:
     return hits.join(text, NAMED).drop("schema_key", "object_key")
 
 
-def routine_findings(objects_view: DataFrame) -> DataFrame:
-    """Every object with its three text and kind flags."""
+def routine_findings(objects_view: DataFrame, xml_pattern: str = fv.FOR_XML_PATTERN,
+                     cursor_pattern: str = fv.CURSOR_PATTERN) -> DataFrame:
+    """Every object with its three text and kind flags; the patterns are those of LIKE, without case."""
     text = F.col("routine_definition")
     return objects_view.select(
         *NAMED, *_ROUTINE[2:], kind_description(F.col("xtype")).alias("type_desc"),
         "sql_data_access",
-        text_flag(text, fv.FOR_XML_PATTERN).alias("uses_for_xml"),
-        text_flag(text, fv.CURSOR_PATTERN).alias("uses_cursor"),
+        text_flag(text, xml_pattern).alias("uses_for_xml"),
+        text_flag(text, cursor_pattern).alias("uses_cursor"),
         F.when(F.col("xtype").isin(fv.INCOMPATIBLE_KINDS), 1).otherwise(0)
         .alias("incompatible_type"))
 

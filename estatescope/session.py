@@ -14,6 +14,8 @@ PLAN_DEFAULTS = {
     # Split a hot key even where the join's partitioning would have been reused.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Text work is CPU-bound: split files into smaller tasks than the default.
+    "spark.sql.files.maxPartitionBytes": "32m",
     # Every column call would otherwise record its Python stack, which for plans of this
     # size costs more than planning them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from estatescope.sources.schemas import SILVER
+from estatescope.workspace import removed
+
+#: A server's rows are written by at most so many tasks, one file each.
+FILES_PER_SERVER = 32
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -21,21 +26,30 @@ def refresh(df: DataFrame, path: str, server_ids: Sequence[int] | None = None) -
     """Full refresh, or replace only the given servers' rows and leave the rest alone.
 
     The table is partitioned by server, so a partial refresh writes only those
-    directories.  A server that no longer has rows ends up empty.
+    directories.  A server that no longer has rows loses its directory.
     """
     if server_ids is None:
-        df.write.mode("overwrite").partitionBy("server_id").parquet(path)
+        _by_server(df).write.mode("overwrite").partitionBy("server_id").parquet(path)
         return
     seen = Observation()
     wanted = df.filter(F.col("server_id").isin(list(server_ids))).observe(
-        seen, *[F.max(F.col("server_id") == i).alias(f"has_{i}") for i in server_ids])
-    (wanted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        seen, F.collect_set("server_id").alias("servers"))  # as many as were asked for at most
+    (_by_server(wanted).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("server_id").parquet(path))
     # Overwriting by partition leaves out servers without fresh rows.  Which those are was
     # observed while writing, so nothing is computed twice.
-    for gone in (i for i in server_ids if not seen.get[f"has_{i}"]):
+    gone = sorted(set(server_ids) - set(seen.get["servers"]))
+    for server in gone:
+        removed(df.sparkSession, f"{path}/server_id={server}")
+    if gone:  # an empty file keeps the schema should no server be left
         empty = df.sparkSession.createDataFrame([], df.drop("server_id").schema)
-        empty.write.mode("overwrite").parquet(f"{path}/server_id={gone}")
+        empty.write.mode("overwrite").parquet(f"{path}/server_id={gone[0]}")
+
+
+def _by_server(df: DataFrame) -> DataFrame:
+    """A server's rows in a few tasks instead of in all, and a large server not in one."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(FILES_PER_SERVER))
+    return df.repartition("server_id", salt)
 
 
 def clear(spark: SparkSession, path: str, name: str) -> None:
@@ -43,6 +57,21 @@ def clear(spark: SparkSession, path: str, name: str) -> None:
     spark.createDataFrame([], SILVER[name]).write.mode("overwrite").parquet(path)
 
 
+ERRORS = "dt timestamp, message string, command string"
+
+
+def failure(error: Exception, name: str, now: datetime) -> tuple:
+    """A row of the error log, with the whole message: Spark tells the cause at the end."""
+    return now, f"{type(error).__name__}: {error}", name
+
+
+class StoredTables(dict):
+    """Tables by name; asking for one that could not be made names the cause."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        raise LookupError(f"needs {name}, which failed or is not there")
+
+
 def collect_all(spark: SparkSession, jobs: dict[str, Callable[[dict[str, DataFrame]], DataFrame]],
                 root: str, write: Callable[[DataFrame, str], None] = replace,
                 ) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -52,16 +81,15 @@ def collect_all(spark: SparkSession, jobs: dict[str, Callable[[dict[str, DataFra
     twice.  Returns the stored tables and the error rows of this run, which are also
     appended to ``<root>/exec_errors``.
     """
-    tables: dict[str, DataFrame] = {}
-    failures = []
+    tables = StoredTables()
+    failures, now = [], datetime.now()
     for name, job in jobs.items():
         try:
             write(job(tables), f"{root}/{name}")
             tables[name] = spark.read.parquet(f"{root}/{name}")
         except Exception as error:  # any failing unit is logged, none stops the others
-            failures.append((f"{type(error).__name__}: {error}"[:255], name))
-    errors = (spark.createDataFrame(failures, "message string, command string")
-              .select(F.current_timestamp().alias("dt"), "message", "command"))
+            failures.append(failure(error, name, now))
+    errors = spark.createDataFrame(failures, ERRORS)
     if failures:
         append(errors, f"{root}/exec_errors")
     return tables, errors

@@ -43,14 +43,7 @@ class Star:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-            if name == "documents":
-                # Text work is CPU-bound.  Where the files split into fewer tasks than there
-                # are cores, spread the rows; a large table splits well enough by itself.
-                cores = self.spark.sparkContext.defaultParallelism
-                if df.rdd.getNumPartitions() < cores:
-                    df = df.repartition(cores, "doc_id")
-            self._tables[name] = df
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self._tables[name]
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -158,11 +151,10 @@ class Star:
 
     @cached_property
     def sysservers(self) -> DataFrame:
-        name = F.regexp_extract("text", r"(\w+)\.", 1)
+        names = F.regexp_extract_all("text", F.lit(r"(\w+)\."), F.lit(1))
         return self.table("benchmark").select(
-            (F.col("item_id") % 5).cast("int").alias("server_id"), name.alias("srvname"),
-            F.lit("ODBC").alias("providername"),
-            F.substring("text", 1, 20).alias("datasource"),
+            (F.col("item_id") % 5).cast("int").alias("server_id"), F.explode(names).alias("srvname"),
+            F.lit("ODBC").alias("providername"), F.col("text").alias("datasource"),
             F.lit(None).cast("string").alias("location"),
             F.lit(None).cast("string").alias("providerstring"))
 

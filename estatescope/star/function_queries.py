@@ -186,7 +186,7 @@ def seconds_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query("string_functions", """
     SELECT doc_id, coalesce(nullif(lang, 'en'), '?') AS lang, left(text, 3) AS head,
-           right(text, 3) AS tail, reverse(left(text, 5)) AS back, length(text) AS n,
+           right(text, 3) AS tail, reverse(text) AS back, length(text) AS n,
            instr(text, 'on')::INTEGER AS at, replace(source, 'src', 's') AS source,
            substr(source, 1, 1) || '-' || substr(source, 3) AS stuffed,
            (doc_id & 6)::BIGINT AS bits, CAST(doc_id AS VARCHAR) AS id_text
@@ -195,7 +195,7 @@ def string_functions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(
         "doc_id", F.coalesce(F.nullif("lang", F.lit("en")), F.lit("?")).alias("lang"),
         F.left("text", F.lit(3)).alias("head"), F.right("text", F.lit(3)).alias("tail"),
-        F.reverse(F.left("text", F.lit(5))).alias("back"), F.length("text").alias("n"),
+        F.reverse("text").alias("back"), F.length("text").alias("n"),
         F.instr("text", "on").alias("at"), F.replace("source", F.lit("src"), F.lit("s"))
         .alias("source"), F.overlay("source", F.lit("-"), 2, 1).alias("stuffed"),
         F.col("doc_id").bitwiseAND(6).alias("bits"), F.col("doc_id").cast("string")
@@ -203,14 +203,17 @@ def string_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("split_long_text", """
-    SELECT doc_id, text AS joined, true AS all_fit,
-           length(text) > 400 AS is_split FROM documents""")
+    SELECT doc_id, text AS joined, true AS all_fit, length(text) > 400 AS is_split,
+           array_to_string(list_transform(
+             regexp_extract_all(text, '(?s)(.{1,400}\\z|.{0,399}\\n|.{400})'),
+             lambda p: length(p)), ',') AS cuts FROM documents""")
 def split_query(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_long_text(F.col("text"), 400)
     return (Star(spark, d).table("documents").select("doc_id", pieces.alias("pieces"))
             .select("doc_id", F.array_join("pieces", "").alias("joined"),
                     F.forall("pieces", lambda p: F.length(p) <= 400).alias("all_fit"),
-                    (F.size("pieces") > 1).alias("is_split")))
+                    (F.size("pieces") > 1).alias("is_split"),
+                    F.array_join(F.transform("pieces", F.length), ",").alias("cuts")))
 
 
 @query("text_flags", """

@@ -241,8 +241,11 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return Star(spark, d).table("documents")
 
 
-def _prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select(F.substring("text", 1, 8).alias("term"))
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Whole items and their last words, so that there are long terms and short ones."""
+    word = F.regexp_extract("text", r"(\w+)\W*$", 1)
+    items = read(spark, d, "benchmark")
+    return items.select(F.col("text").alias("term")).union(items.select(word.alias("term")))
 
 
 def _sentence_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -252,18 +255,20 @@ def _sentence_ends(spark: SparkSession, d: str) -> DataFrame:
 
 @query("first_match", """
     SELECT doc_id, min(term) AS term FROM documents
-    JOIN (SELECT min(term) AS term FROM (SELECT substr(text, 1, 8) AS term FROM benchmark)
-      GROUP BY lower(term)) ON contains(lower(text), lower(term)) GROUP BY ALL""")
+    JOIN (SELECT min(term) AS term FROM (SELECT text AS term FROM benchmark
+        UNION ALL SELECT regexp_extract(text, '(\\w+)\\W*$', 1) FROM benchmark)
+      WHERE term <> '' GROUP BY lower(term)) ON contains(lower(text), lower(term)) GROUP BY ALL""")
 def first_match_query(spark: SparkSession, d: str) -> DataFrame:
-    return first_match(_documents(spark, d), _prefixes(spark, d), ["doc_id"], "text", "term", [""])
+    return first_match(_documents(spark, d), _items(spark, d), ["doc_id"], "text", "term", [""])
 
 
 @query("all_matches", """
     SELECT DISTINCT doc_id, term FROM documents
-    JOIN (SELECT min(term) AS term FROM (SELECT substr(text, 1, 8) AS term FROM benchmark)
-      GROUP BY lower(term)) ON contains(lower(text), lower(term))""")
+    JOIN (SELECT min(term) AS term FROM (SELECT text AS term FROM benchmark
+        UNION ALL SELECT regexp_extract(text, '(\\w+)\\W*$', 1) FROM benchmark)
+      WHERE term <> '' GROUP BY lower(term)) ON contains(lower(text), lower(term))""")
 def all_matches_query(spark: SparkSession, d: str) -> DataFrame:
-    return all_matches(_documents(spark, d), _prefixes(spark, d), ["doc_id"], "text", "term", [""])
+    return all_matches(_documents(spark, d), _items(spark, d), ["doc_id"], "text", "term", [""])
 
 
 _ENDS = """(SELECT min(term) AS term FROM (SELECT unnest(regexp_extract_all(text, '(\\w+)\\.', 1))
@@ -286,12 +291,19 @@ def first_match_before_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("reference_tokens", f"""
-    SELECT DISTINCT doc_id, term FROM (SELECT doc_id,
-        unnest(regexp_extract_all(lower(text), '([\\pL\\pN_@#$]+)\\]?\\.', 1)) AS token FROM documents)
-    JOIN {_ENDS} ON token = lower(term)""")
+    WITH d AS (SELECT doc_id, lower(text) || ' [srv-' || source || '].x' AS t FROM documents),
+    terms AS (SELECT term FROM {_ENDS} UNION SELECT 'SRV-' || source FROM documents)
+    SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_concat(
+        regexp_extract_all(t, '([\\pL\\pN_@#$]+)\\.', 1),
+        regexp_extract_all(t, '\\[([^\\[\\]]+)\\]\\.', 1))) AS token FROM d)
+    JOIN terms ON token = lower(term)""")
 def reference_tokens_query(spark: SparkSession, d: str) -> DataFrame:
-    return reference_tokens(_documents(spark, d), _sentence_ends(spark, d), ["doc_id"], "text",
-                            "term")
+    """Words at the ends of sentences, and a bracketed name with a hyphen in every text."""
+    docs = _documents(spark, d)
+    texts = docs.select("doc_id", F.concat("text", F.lit(" [srv-"), "source", F.lit("].x")).alias("text"))
+    terms = _sentence_ends(spark, d).union(
+        docs.select(F.concat(F.lit("SRV-"), "source").alias("term")).distinct())
+    return reference_tokens(texts, terms, ["doc_id"], "text", "term")
 
 
 @query("not_loaded", """

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from estatescope.plans import reports, rules, views
 from estatescope.plans.assessment import evaluate, gold_jobs, rule_jobs
 from estatescope.star.inventory import StarInventory
-from estatescope.star.registry import query
+from estatescope.star.registry import SQL, query
 
 _ROLLUP = ["indexes", "index_data_size", "index_used_size", "unique_indexes",
            "included_column_indexes", "filtered_indexes", "column_stores"]
@@ -458,18 +458,31 @@ def report_linked_servers(spark: SparkSession, d: str) -> DataFrame:
     return reports.linked_servers_report(StarInventory(spark, d))
 
 
-@query("report_bundle", """
-    SELECT 'jobs' AS report, count(*) AS rows FROM conversations
-    UNION ALL SELECT 'indexes', count(*) FROM orders
-    UNION ALL SELECT 'linked_servers', count(*) FROM x_linked
-    UNION ALL SELECT 'sequences', count(*) FROM x_sequences
-    UNION ALL SELECT 'wait_stats', count(*) FROM x_top_wait""")
+@query("rule_incompatible_routines_by_pattern", f"""
+    SELECT {_ROUTINE_SQL}, definition AS routine_definition,
+           CASE WHEN definition ILIKE '%en%the%ion%' THEN 1 ELSE 0 END AS uses_for_xml,
+           CASE WHEN definition ILIKE '%que%de%la%' THEN 1 ELSE 0 END AS uses_cursor, incompatible_type
+    FROM x_routines WHERE definition ILIKE '%en%the%ion%' OR definition ILIKE '%que%de%la%'""")
+def rule_routines_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """The same rule with patterns of the caller, which these texts do hold."""
+    _, g = _gold(spark, d)
+    found = rules.routine_findings(g["objects_view"], "%EN%the%ion%", "%que%de%la%")
+    return _routine(rules.incompatible_routines(found), "uses_for_xml", "uses_cursor",
+                    "incompatible_type")
+
+
+_BUNDLE = ["instance", "jobs", "wait_stats", "top_sql", "databases", "tables", "columns", "indexes", "routines",
+           "sequences", "linked_servers"]
+
+
+@query("report_bundle", " UNION ALL ".join(
+    f"SELECT '{n}' AS report, count(*) AS rows FROM ({SQL[f'report_{n}']})" for n in _BUNDLE))
 def report_bundle(spark: SparkSession, d: str) -> DataFrame:
-    """Row counts of those reports of the bundle that read the inventory directly."""
+    """Row counts of the whole bundle; the reports' content is compared one by one."""
     s, g = _gold(spark, d)
     bundle = reports.reports(g, s)
     counts = [bundle[n].agg(F.lit(n).alias("report"), F.count("*").alias("rows"))
-              for n in ("jobs", "indexes", "linked_servers", "sequences", "wait_stats")]
+              for n in _BUNDLE]
     out = counts[0]
     for df in counts[1:]:
         out = out.unionByName(df)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,18 +27,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
-
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder in the shared directory of the cluster.
-
-    That is ``spark.checkpoint.dir``.  Only where it is unset (a local session) a temporary
-    directory stands in.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-    run = f"{spark.sparkContext.applicationId}-{os.urandom(6).hex()}"
-    return f"{shared.rstrip('/')}/{purpose}-{run}"
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="estatescope-")

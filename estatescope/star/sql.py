@@ -47,8 +47,9 @@ PIECES["x_doc"] = """
              AS definition
     FROM documents JOIN x_db ON database_id = doc_id % 25"""
 PIECES["x_linked"] = """
-    SELECT DISTINCT server_id, server_name, regexp_extract(text, '(\\w+)\\.', 1) AS linked_server,
-           'ODBC' AS provider_name, substr(text, 1, 20) AS datasource
+    SELECT DISTINCT server_id, server_name,
+           unnest(regexp_extract_all(text, '(\\w+)\\.', 1)) AS linked_server,
+           'ODBC' AS provider_name, text AS datasource
     FROM benchmark JOIN x_server ON server_id = item_id % 5"""
 PIECES["x_waits"] = """
     SELECT (user_id % 5)::INTEGER AS server_id, event_type || '_' || user_id AS wait_type,

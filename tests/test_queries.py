@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from estatescope.star import all_queries, all_sql
 from compare import bag, connect, difference
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
