@@ -5,10 +5,11 @@ term costs their product.  Here it is turned into an equality.  The usual search
 suffixes (``name.`` and ``name].``): only stretches in front of a suffix can match, a
 handful per text, and those of the terms' lengths are joined to the terms.
 
-Without a suffix a term can stand anywhere.  Then its first ``ANCHOR`` characters (all of a shorter
-term) are looked for among the stretches of that length, piece by piece of the text; what is
-left to check of a longer term is checked in the few texts that hold its beginning.  The work grows
-with the text and with at most ``ANCHOR`` different lengths, not with the number of terms.
+Without a suffix a term can stand anywhere.  Then a part of it is looked for, piece by piece of the text:
+the ``ANCHOR`` characters after its first blank, which only the blanks of a text can be in front of; of a
+term without them its first ``ANCHOR`` characters, or all of a shorter one.  The whole term is then checked
+in the few texts that hold that part.  The work grows with the text and with at most ``ANCHOR`` different
+lengths, not with the number of terms.
 """
 
 from __future__ import annotations
@@ -83,26 +84,38 @@ def _with_stretches(texts: DataFrame, keys: Sequence[str], suffixes: Sequence[st
 
 
 def _anywhere(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per text and stretch of up to ANCHOR characters (``_start``), repeats within a piece left out.
-
-    A piece goes on into the next one, so that no stretch is cut."""
-    lengths = F.array_distinct(F.transform("_lengths", lambda n: F.least(n, F.lit(ANCHOR))))
-    cut = F.lit(r"(?s)(.{1,%d})(?=(.{0,%d}))" % (PIECE, ANCHOR - 1))
+    """One row per text and stretch that a term's part can equal (``_n``, ``_start``), repeats within a piece
+    left out.  A piece goes on into the next one, so that no stretch is cut."""
+    cut = F.lit(r"(?s)(.{1,%d})(?=(.{0,%d}))" % (PIECE, ANCHOR))
     pieces = F.zip_with(F.regexp_extract_all("_text", cut, F.lit(1)),
                         F.regexp_extract_all("_text", cut, F.lit(2)), lambda a, b: F.concat(a, b))
     # The lookahead takes _n characters from the position, the final dot moves on by one.
-    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("_n").cast("string"), F.lit("}))."))
-    return (texts.select(*keys, lengths.alias("_lengths"), F.explode(pieces).alias("_piece"))
-            .select(*keys, "_piece", F.explode("_lengths").alias("_n"))
-            .select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("_piece", pattern, F.lit(1))))
+    pattern = F.when(F.col("_n") == 0, F.lit(r"(?s) (?=(.{%d}))" % ANCHOR)).otherwise(
+        F.concat(F.lit("(?s)(?=(.{"), F.col("_n").cast("string"), F.lit("})).")))
+    return (texts.select(*keys, "_parts", F.explode(pieces).alias("_piece"))
+            .select(*keys, "_piece", F.explode("_parts").alias("_n"))
+            .select(*keys, "_n", F.explode(F.array_distinct(F.regexp_extract_all("_piece", pattern, F.lit(1))))
                     .alias("_start")))
 
 
+def _part_kind(term: Column) -> Column:
+    """0: the part after the first blank, else how many of the first characters."""
+    after = F.length(term) - F.instr(term, " ")
+    return F.when((F.instr(term, " ") > 0) & (after >= ANCHOR), F.lit(0)).otherwise(
+        F.least(F.length(term), F.lit(ANCHOR)))
+
+
+def _part(term: Column) -> Column:
+    """What of a term is looked for."""
+    begin = F.when(_part_kind(term) == 0, F.instr(term, " ") + 1).otherwise(F.lit(1))
+    return F.substring(term, begin, F.lit(ANCHOR))
+
+
 def _hits_anywhere(texts: DataFrame, distinct_terms: DataFrame, keys: Sequence[str],
                    scope: Sequence[str]) -> DataFrame:
     """Texts and terms of the same scope of which the text holds the whole term."""
-    begun = (_anywhere(texts, keys).join(distinct_terms.withColumn("_start", F.left("_term", F.lit(ANCHOR))),
-                                         [*scope, "_start"]).drop("_start").distinct())
+    parts = distinct_terms.withColumns({"_n": _part_kind(F.col("_term")), "_start": _part(F.col("_term"))})
+    begun = _anywhere(texts, keys).join(parts, [*scope, "_n", "_start"]).drop("_n", "_start").distinct()
     short = begun.filter(F.length("_term") <= ANCHOR)
     whole = texts.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "_text")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in keys])
@@ -128,12 +141,13 @@ def _hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str
              .agg(F.struct(
                  F.sort_array(F.collect_set(F.length(term))).alias("lengths"),
                  F.array(*[F.max(in_string_count(term, m)).cast("int")
-                           for m in _marks(suffixes)], F.lit(0)).alias("spans")))
+                           for m in _marks(suffixes)], F.lit(0)).alias("spans"),
+                 F.collect_set(_part_kind(term)).alias("parts")))
              .scalar())
     prepared = (texts.filter(F.col(text_col).isNotNull())
                 .select(*columns, F.lower(text_col).alias("_text"), shape.alias("_shape"))
                 .select(*columns, "_text", F.col("_shape.lengths").alias("_lengths"),
-                        F.col("_shape.spans").alias("_spans")))
+                        F.col("_shape.spans").alias("_spans"), F.col("_shape.parts").alias("_parts")))
     distinct_terms = _distinct_terms(terms, term_col, [*scope, *kinds])
     found = []
     if _marks(suffixes):

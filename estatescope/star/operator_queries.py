@@ -242,10 +242,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Whole items and their last words, so that there are long terms and short ones."""
-    word = F.regexp_extract("text", r"(\w+)\W*$", 1)
-    items = read(spark, d, "benchmark")
-    return items.select(F.col("text").alias("term")).union(items.select(word.alias("term")))
+    return read(spark, d, "benchmark").select(F.col("text").alias("term"))
 
 
 def _sentence_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -255,18 +252,14 @@ def _sentence_ends(spark: SparkSession, d: str) -> DataFrame:
 
 @query("first_match", """
     SELECT doc_id, min(term) AS term FROM documents
-    JOIN (SELECT min(term) AS term FROM (SELECT text AS term FROM benchmark
-        UNION ALL SELECT regexp_extract(text, '(\\w+)\\W*$', 1) FROM benchmark)
-      WHERE term <> '' GROUP BY lower(term)) ON contains(lower(text), lower(term)) GROUP BY ALL""")
+    JOIN (SELECT min(text) AS term FROM benchmark WHERE text <> '' GROUP BY lower(text)) ON contains(lower(text), lower(term)) GROUP BY ALL""")
 def first_match_query(spark: SparkSession, d: str) -> DataFrame:
     return first_match(_documents(spark, d), _items(spark, d), ["doc_id"], "text", "term", [""])
 
 
 @query("all_matches", """
     SELECT DISTINCT doc_id, term FROM documents
-    JOIN (SELECT min(term) AS term FROM (SELECT text AS term FROM benchmark
-        UNION ALL SELECT regexp_extract(text, '(\\w+)\\W*$', 1) FROM benchmark)
-      WHERE term <> '' GROUP BY lower(term)) ON contains(lower(text), lower(term))""")
+    JOIN (SELECT min(text) AS term FROM benchmark WHERE text <> '' GROUP BY lower(text)) ON contains(lower(text), lower(term))""")
 def all_matches_query(spark: SparkSession, d: str) -> DataFrame:
     return all_matches(_documents(spark, d), _items(spark, d), ["doc_id"], "text", "term", [""])
 

@@ -28,6 +28,18 @@ def contains_pairs(texts, terms, suffixes):
                    if any(term + s in text.lower() for s in suffixes)}, key=repr)
 
 
+def test_long_terms_anywhere_equal_brute_force(spark):
+    """Terms with and without blanks, around the length of the parts, in texts of several pieces."""
+    rng = random.Random(11)
+    words = ["Alpha", "beta", "γάμμα", "de", "x", "twelve-chars", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [5, 30, 200, 3000] * 6] + [None, "", " "]
+    terms = [t[s:s + rng.randint(1, 40)] for t in texts[:24] for s in (0, len(t) // 3, len(t) // 2)]
+    terms += [" alpha", "Alpha ", " ", "twelve-chars", "x" * 9, "de twelve", "a twelve-char"]
+    left = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = all_matches(left, spark.createDataFrame([(t,) for t in terms], "term string"), ["id"], "text", "term", [""])
+    assert rows(got, "id", "term") == contains_pairs(texts, terms, [""])
+
+
 @pytest.mark.parametrize("suffixes", [(".", "]."), ("",), (".",), ("->", ":"), ("", ".")])
 def test_matches_equal_brute_force(spark, suffixes):
     rng = random.Random(3)
