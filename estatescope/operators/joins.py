@@ -1,5 +1,5 @@
-"""Join shapes.  No side is ever hinted: adaptive execution broadcasts a side once it has
-measured it, and splits skewed partitions otherwise.  Everything that can shrink a side
+"""Join shapes.  No side is ever hinted: Spark broadcasts a side whose size, by its files or once
+measured, is below its threshold, and splits skewed partitions otherwise.  Everything that can shrink a side
 (filter, aggregate, top-1) happens before the join."""
 
 from __future__ import annotations
@@ -61,15 +61,23 @@ def disjunctive_join(left: DataFrame, right: DataFrame, right_kind: Column, righ
 
     ``left_keys`` maps each kind to the left column it refers to; ``same`` names
     columns that must be equal as well.  The OR becomes an equi-join on
-    (kind, key): a left row is repeated once per kind, a right row has one pair.
+    (column, key): a left row is repeated once per column that some kind refers to, a right row
+    has one pair.  Keys keep their type where all have the same one.
     """
+    targets = list(dict.fromkeys(left_keys.values()))
+    types = {left.schema[c].dataType.simpleString() for c in targets}
+    types |= {right.select(right_key.alias("k")).schema["k"].dataType.simpleString()}
+    kept = types.pop() if len(types) == 1 else "string"
+
     def keyed(df: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(kind).alias("_kind"), F.col(c).cast("string").alias("_key"))
-                          for kind, c in left_keys.items()])
+        pairs = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).cast(kept).alias("_key"))
+                          for i, c in enumerate(targets)])
         return df.select("*", F.inline(pairs))
 
-    build = right.select("*", right_kind.cast("string").alias("_kind"),
-                         right_key.cast("string").alias("_key"))
+    kind = F.lit(None).cast("int")
+    for value, column in left_keys.items():
+        kind = F.when(right_kind.cast("string") == value, F.lit(targets.index(column))).otherwise(kind)
+    build = right.select("*", kind.alias("_kind"), right_key.cast(kept).alias("_key"))
     on = [*same, "_kind", "_key"]
     if how == "inner":
         return keyed(left).join(build, on).drop("_kind", "_key")

@@ -139,11 +139,13 @@ def run_assessment(spark: SparkSession, snapshot: str, out: str, fmt: str = "par
         else:
             replace(df, path)
 
-    b = read_all(spark, snapshot, fmt)
+    missing: list[str] = []
+    b = read_all(spark, snapshot, fmt, missing)
     s, errors = collect_all(spark, inventory_jobs(b, as_of, mode), f"{out}/inventory", write)
     g, more = collect_all(spark, gold_jobs(s, mode), f"{out}/gold", write)
     _, rest = collect_all(spark, rule_jobs(g), f"{out}/rules", write)
-    made, failures, now = {}, [], datetime.now()
+    made, now = {}, datetime.now()
+    failures = [(now, f"no folder {snapshot}/{name}: read as empty", f"snapshot {name}") for name in missing]
     for name, job in report_jobs(g, s, mode).items():
         try:
             made[name] = job()

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 PLAN_DEFAULTS = {
-    # Joins are never hinted: AQE broadcasts a side only after measuring it, and
-    # splits skewed partitions of the others.
+    # Joins are never hinted: Spark broadcasts a side whose size (by its files, or measured) is
+    # below its threshold, and AQE splits skewed partitions of the others.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

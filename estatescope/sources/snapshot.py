@@ -12,9 +12,13 @@ FORMATS = ("parquet", "orc", "csv", "json")
 REJECT = "_rejected"
 
 
-def read_snapshot(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
+                  multi_line: bool | None = None) -> DataFrame:
     """The snapshot table ``name`` below ``path``, with its declared schema.
 
+    A CSV file whose values can hold line ends cannot be split among tasks.  Unless the caller says
+    so, only tables with a ``definition`` are read that way.
+
     In CSV and JSON, rows that do not fit the schema keep their raw text in
     ``_rejected`` (see :func:`split_rejected`) instead of failing the job.
     """
@@ -26,14 +30,17 @@ def read_snapshot(spark: SparkSession, path: str, name: str, fmt: str = "parquet
         schema += f", {REJECT} string"
         reader = reader.option("columnNameOfCorruptRecord", REJECT).option("mode", "PERMISSIVE")
     if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+        lines = "definition" in BRONZE[name] if multi_line is None else multi_line
+        reader = reader.option("header", "true").option("multiLine", lines).option("escape", '"')
     return reader.schema(schema).format(fmt).load(f"{path.rstrip('/')}/{name}")
 
 
-def read_all(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+def read_all(spark: SparkSession, path: str, fmt: str = "parquet",
+             missing: list[str] | None = None) -> dict[str, DataFrame]:
     """All snapshot tables, keyed by name; nothing is read yet.
 
-    A view without a directory has no rows: older server generations lack some.
+    A view without a directory has no rows: older server generations lack some.  Their names
+    are added to ``missing``.
     """
     tables = {}
     for name in BRONZE:
@@ -43,6 +50,8 @@ def read_all(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str,
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             tables[name] = spark.createDataFrame([], BRONZE[name])
+            if missing is not None:
+                missing.append(name)
     return tables
 
 
