@@ -155,7 +155,7 @@ def cut_repeats(docs: DataFrame, unit: Unit, doc_id: str = "doc_id", text: str =
                      .select("anchor"), f"{folder}/crowded")
     spans = _compared(marks.join(crowded, "anchor", "left_anti"), unit)
     if not crowded.isEmpty():
-        spans = spans.union(_counted(marks.join(crowded, "anchor", "left_semi"), unit))
+        spans = spans.union(_counted(marks.join(crowded, "anchor", "left_semi"), unit, folder))
     per_text = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,25 +185,38 @@ def _compared(marks: DataFrame, unit: Unit) -> DataFrame:
     return marks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _SPAN)
 
 
-def _counted(marks: DataFrame, unit: Unit) -> DataFrame:
-    """The same for crowded anchors: every window is a row and is counted under its 128-bit hash."""
+def _counted(marks: DataFrame, unit: Unit, folder: str) -> DataFrame:
+    """The same for crowded anchors: every window is a row and is counted under its hash.
+
+    Places with the same payload are one class, summed up first: inside a passage that very many texts
+    share all places are alike, only at its borders they differ."""
+    kind = F.md5(F.concat("payload", F.encode(F.concat_ws(
+        ":", "anchor", F.col("place") - F.col("first"), F.col("last") - F.col("first")), "utf-8")))
+    rows = marks.withColumn("class", kind)
+    classes = rows.groupBy("class").agg(
+        F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("payload").alias("payload"),
+        F.first(F.col("last") - F.col("first")).alias("steps"))
 
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                first, last = part.column("first").to_pylist(), part.column("last").to_pylist()
-                found = [unit.digests(f, x, p) for f, x, p in zip(
-                    first, last, part.column("payload").to_pylist(), strict=True)]
-                sizes = [len(x) for x in found]
-                row = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                start = [f + i for f, x in zip(first, found, strict=True) for i in range(len(x))]
+                found = [unit.digests(0, n, p) for n, p in zip(
+                    part.column("steps").to_pylist(), part.column("payload").to_pylist(), strict=True)]
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for x in found for d in x], pa.binary()), part.column("anchor").take(row),
-                     part.column("text_key").take(row), pa.array(start, pa.int64())],
-                    ["window", "anchor", "text_key", "start"])
-
-    windows = marks.mapInArrow(single, "window binary, anchor bigint, text_key binary, start bigint")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(twice, ["anchor", "window"], "left_semi").select(
-        "text_key", "start", (F.col("start") + unit.length).alias("end")).distinct()
+                    [pa.array([d for x in found for d in x], pa.binary()),
+                     *[part.column(c).take(row) for c in ("anchor", "class", "copies")],
+                     pa.array([i for x in found for i in range(len(x))], pa.int64())],
+                    ["window", "anchor", "class", "copies", "number"])
+
+    windows = stored(classes.select("class", "copies", "anchor", "payload", "steps").mapInArrow(
+        single, "window binary, anchor bigint, class string, copies bigint, number bigint"), f"{folder}/single")
+    twice = stored(windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"),
+                   f"{folder}/twice")
+    hits = stored(windows.join(twice, ["anchor", "window"], "left_semi").groupBy("class").agg(
+        F.min("number").alias("low"), F.max("number").alias("high")), f"{folder}/hits")
+    # The windows of a class overlap, so its repeated ones are one span.
+    return rows.select("text_key", "first", "class").join(hits, "class").select(
+        "text_key", (F.col("first") + F.col("low")).alias("start"),
+        (F.col("first") + F.col("high") + unit.length).alias("end"))
