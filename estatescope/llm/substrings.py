@@ -23,6 +23,8 @@ from estatescope.llm.texts import Prefix, flat, lowest, merged_spans, mixed, wor
 
 #: Words of a window, and of the stretches among which its anchor is chosen.
 LENGTH, GRAM = 35, 8
+#: Places of an anchor that a task compares at once: their window hashes take some 10 MB.
+GROUP = 100_000
 
 
 class Words:
@@ -66,8 +68,9 @@ class Words:
         np.maximum.at(high, run[twice], number[twice])
         return which, first[which] + low[which], first[which] + high[which] + self.length
 
-    def digests(self, first: int, last: int, payload: bytes) -> list[bytes]:
-        return [payload[i:i + 8] for i in range(0, len(payload), 8)]
+    def digests(self, anchor: int, windows: int, payload: bytes) -> list[bytes]:
+        front = anchor.to_bytes(8, "little", signed=True)
+        return [front + payload[i:i + 8] for i in range(0, 8 * windows, 8)]
 
     def cut(self, text: str | None, starts: np.ndarray, ends: np.ndarray) -> dict:
         words = (text or "").encode().split()
@@ -81,9 +84,10 @@ class Words:
                 "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode()}
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP,
+                   **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, with ``with_text=True`` also kept)."""
-    return windows.cut_repeats(docs, Words(length, gram), **options)
+    return windows.cut_repeats(docs, Words(length, gram), group=group, **options)
 
 
 @query("op4_substring_dedup", f"""

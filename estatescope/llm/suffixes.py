@@ -193,8 +193,8 @@ class Bytes:
             most[some[hit]] = before
         return least, most
 
-    def digests(self, first: int, last: int, payload: bytes) -> list[bytes]:
-        return [xxhash.xxh3_128_digest(payload[i:i + self.length]) for i in range(last - first + 1)]
+    def digests(self, anchor: int, windows: int, payload: bytes) -> list[bytes]:
+        return [xxhash.xxh3_128_digest(payload[i:i + self.length]) for i in range(windows)]
 
     def cut(self, text: str | None, starts: np.ndarray, ends: np.ndarray) -> dict:
         data = (text or "").encode()

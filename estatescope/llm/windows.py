@@ -52,7 +52,7 @@ class Unit(Protocol):
     def payload(self, some: np.ndarray) -> list[bytes]: ...
     def found(self, anchor: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray,
               payload: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
-    def digests(self, first: int, last: int, payload: bytes) -> list[bytes]: ...
+    def digests(self, anchor: int, windows: int, payload: bytes) -> list[bytes]: ...
     def cut(self, text: str | None, starts: np.ndarray, ends: np.ndarray) -> dict: ...
 
 
@@ -190,8 +190,8 @@ def _counted(marks: DataFrame, unit: Unit, folder: str) -> DataFrame:
 
     Places with the same payload are one class, summed up first: inside a passage that very many texts
     share all places are alike, only at its borders they differ."""
-    kind = F.md5(F.concat("payload", F.encode(F.concat_ws(
-        ":", "anchor", F.col("place") - F.col("first"), F.col("last") - F.col("first")), "utf-8")))
+    kind = F.unhex(F.md5(F.concat("payload", F.encode(F.concat_ws(
+        ":", "anchor", F.col("place") - F.col("first"), F.col("last") - F.col("first")), "utf-8"))))
     rows = marks.withColumn("class", kind)
     classes = rows.groupBy("class").agg(
         F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("payload").alias("payload"),
@@ -201,20 +201,20 @@ def _counted(marks: DataFrame, unit: Unit, folder: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [unit.digests(0, n, p) for n, p in zip(
-                    part.column("steps").to_pylist(), part.column("payload").to_pylist(), strict=True)]
+                found = [unit.digests(a, n + 1, p) for a, n, p in zip(*[
+                    part.column(c).to_pylist() for c in ("anchor", "steps", "payload")], strict=True)]
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for x in found for d in x], pa.binary()),
-                     *[part.column(c).take(row) for c in ("anchor", "class", "copies")],
-                     pa.array([i for x in found for i in range(len(x))], pa.int64())],
-                    ["window", "anchor", "class", "copies", "number"])
+                     *[part.column(c).take(row) for c in ("class", "copies")],
+                     pa.array([i for x in found for i in range(len(x))], pa.int32())],
+                    ["window", "class", "copies", "number"])
 
     windows = stored(classes.select("class", "copies", "anchor", "payload", "steps").mapInArrow(
-        single, "window binary, anchor bigint, class string, copies bigint, number bigint"), f"{folder}/single")
-    twice = stored(windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"),
+        single, "window binary, class binary, copies bigint, number int"), f"{folder}/single")
+    twice = stored(windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"),
                    f"{folder}/twice")
-    hits = stored(windows.join(twice, ["anchor", "window"], "left_semi").groupBy("class").agg(
+    hits = stored(windows.join(twice, "window", "left_semi").groupBy("class").agg(
         F.min("number").alias("low"), F.max("number").alias("high")), f"{folder}/hits")
     # The windows of a class overlap, so its repeated ones are one span.
     return rows.select("text_key", "first", "class").join(hits, "class").select(
