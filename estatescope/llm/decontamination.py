@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from estatescope.llm.registry import query, read
 from estatescope.llm.simhash import tie_of
@@ -216,7 +216,9 @@ def contamination(docs: DataFrame, items: DataFrame, **columns: str) -> DataFram
         .groupBy("text_key").agg(F.sum("new").cast("long").alias("n_hit"))
     named = items_found.groupBy("text_key").agg(
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return texts.join(hit, "text_key", "left").join(named, "text_key", "left").select(
+    # Stored, so that the join below is a plain one, whose hot texts can be split.
+    per_text = stored(hit.join(named, "text_key"), work_folder(docs.sparkSession, "hits"))
+    return texts.join(per_text, "text_key", "left").select(
         "doc_id", "tie", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -233,7 +235,6 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _running(key: str, *order: str):
-    from pyspark.sql import Window
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
