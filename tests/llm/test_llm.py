@@ -396,11 +396,10 @@ def test_empty_tables_and_repeated_rows(spark, rows):
 def test_pipeline_stages(spark, tmp_path):
     """Planted cases through all stages: junk, copies and benchmark passages go, clean documents stay."""
     rng = random.Random(12)
-    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").limit(40).collect()
     clean = [(i, f"{prose(rng, 150)} the of and to in is {i}") for i in range(60)]
     passage = prose(rng, 40)
     junk = [(100 + i, "###  $$$ | " * 40) for i in range(3)] + [(110, None), (111, "")]
-    copies = [(200 + i, clean[i][1]) for i in range(5)] + [(210, clean[7][1].upper().lower())]
+    copies = [(200 + i, clean[i][1]) for i in range(5)] + [(210, clean[7][1].replace("the", "THE"))]
     leaked = [(300 + i, f"{clean[20 + i][1][::-1]} the of and to in is on {passage}") for i in range(3)]
     docs = table(spark, clean + junk + copies + leaked)
     spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -413,4 +412,3 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {i for i, _ in clean}
     last = corpus_pipeline.sharded(spark, kept, str(tmp_path)).collect()
     assert len(last) == kept.count() and {r.law for r in last} == {"bytes"}
-    assert base
