@@ -280,7 +280,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of ``docs`` of each component: that of the least doc_id (null ids last; equal ids: by text)."""
-    found = components(docs, doc_id, text, **options)
+    return first_rows(docs, components(docs, doc_id, text, **options), doc_id, text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` of each root of ``found`` (doc_id, tie, root)."""
     first = found.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("x")).select("x.doc_id", "x.tie")
     first = stored(first, work_folder(docs.sparkSession, "representatives"))

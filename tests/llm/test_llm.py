@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from estatescope.llm import (
-    decontamination, language, mixing, pii, quality, secrets, sharding, simhash, sketch, substrings,
+    decontamination, language, mixing, near_copies, pii, quality, secrets, sharding, simhash, sketch, substrings,
     suffixes, texts,
 )
 from estatescope.llm.components import connected
@@ -412,3 +412,67 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {i for i, _ in clean}
     last = corpus_pipeline.sharded(spark, kept, str(tmp_path)).collect()
     assert len(last) == kept.count() and {r.law for r in last} == {"bytes"}
+
+
+def edited(rng: random.Random, words: list[str], n: int) -> str:
+    """``words`` with n of them replaced."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"edit{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = (set(near_copies.shingles(t).tolist()) for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def near_table(rng: random.Random, n: int) -> list[tuple[int, str]]:
+    """Documents and, 10,000 above, one lightly edited copy of each."""
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        rows += [(i, " ".join(words)), (10_000 + i, edited(rng, words, max(1, int(len(words) * rng.uniform(0, 0.035)))))]
+    return rows
+
+
+def test_near_copies_of_similarity_are_found_and_no_others(spark):
+    rng = random.Random(31)
+    rows = near_table(rng, 250)
+    # Members of one bucket that are not all similar to its first one, and short and blank texts.
+    base = [f"c{i}" for i in range(200)]
+    rows += [(20_000 + i, edited(rng, base, 6)) for i in range(30)]
+    rows += [(30_000, "one two three"), (30_001, "One  two three"), (30_002, "one two"), (30_003, None), (30_004, " ")]
+    roots = {r.doc_id: r.root for r in near_copies.components(table(spark, rows)).collect()}
+    values = {i: set(near_copies.shingles(t).tolist()) for i, t in rows}
+    parent = {i: i for i in values}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(values)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1:]:
+            x, y = values[i], values[j]
+            if not x and not y or x and 5 * len(x & y) >= 4 * len(x | y):
+                parent[top(j)] = top(i)
+    together = lambda f: sorted(sorted(g) for g in _grouped(ids, f).values())
+    assert together(roots.get) == together(top)
+
+
+def _grouped(ids, f):
+    out = defaultdict(list)
+    for i in ids:
+        out[f(i)].append(i)
+    return out
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    rows = near_table(random.Random(32), 120)
+    texts_of = dict(rows)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), str(tmp_path)).collect()}
+    for i in range(120):
+        assert (10_000 + i in kept) == (jaccard(texts_of[i], texts_of[10_000 + i]) < 0.8), i
+        assert i in kept
