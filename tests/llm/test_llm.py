@@ -349,6 +349,35 @@ def test_shards_split_a_group_that_is_too_large(spark):
     assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 16
 
 
+def shards_of(out):
+    where = defaultdict(set)
+    for r in out:
+        where[r.text_crc32].add(r.shard)
+    return where
+
+
+@pytest.mark.parametrize("copies, share", [(2, 0.7), (2, 1.0), (4, 0.7), (4, 1.0)])
+def test_shards_keep_groups_when_most_rows_are_copies(spark, copies, share):
+    rng = random.Random(9)
+    groups = [f"{prose(rng, 40)} {i}" for i in range(int(800 * share / copies))]
+    rows = [(copies * i + k, t) for i, t in enumerate(groups) for k in range(copies)]
+    rows += [(10_000 + i, f"{prose(rng, 40)} alone {i}") for i in range(800 - len(rows))]
+    out, sizes = check_shards(spark, rows)
+    largest = max(len(t.encode()) + 1 for _, t in rows)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 2 * largest
+    cut = sum(len(s) > 1 for s in shards_of(out).values())
+    assert cut == 0 if share < 1 else cut < 16
+
+
+def test_a_group_of_a_third_fills_as_few_shards_as_it_can(spark):
+    rng = random.Random(10)
+    text = prose(rng, 40)
+    rows = [(i, text) for i in range(600)] + [(1000 + i, f"{prose(rng, 40)} {i}") for i in range(1200)]
+    out, sizes = check_shards(spark, rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(len(t.encode()) + 1 for _, t in rows)
+    assert len(shards_of(out)[brute.crc(text)]) <= 7
+
+
 def test_language_codes_are_far_apart():
     for n in (2, 3, 4, 6, 12, 40):
         code = language.codewords(n)
