@@ -2,8 +2,9 @@
 
 A vocabulary learned from prose needs few tokens for words and many for random strings.  Every
 stretch of characters that keys are made of is encoded with the vocabulary; one with few characters
-per token is reported as ``random``, unless it is a known digest, a UUID or an identifier made of
-words.  The known shapes (``assign``, ``access``, ``hex``) are always reported.  The operator returns
+per token is reported as ``random``, unless it is a known digest, a UUID or a string of letters most of which
+stand in words of the vocabulary.  Of a stretch that is not random as a whole (a path, a prefixed name) the
+parts that are random are reported.  The known shapes (``assign``, ``access``, ``hex``) are always reported.  The operator returns
 the spans themselves; the query derives counts and digests.
 
 Null and empty texts have no spans.  Texts are scanned whole, in one pass each, repeated rows each by
@@ -38,9 +39,16 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a shorter run never matches in part: runs are maximal
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A key's characters, and those of them in parts of four or more.
+LEAST, LEAST_LONG = 20, 16
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
                     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-IDENTIFIER = re.compile(r"[0-9_=+/-]+|[A-Za-z_=+/-]+[0-9]{0,4}")
+NUMBER = re.compile(r"[0-9_=+/-]+")
+LETTERS = re.compile(r"[A-Za-z_=+/-]+[0-9]{0,4}")
+#: Parts of a candidate, and the words of a part by its case changes.
+PART = re.compile(r"[A-Za-z0-9]+")
+WORD_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
 
@@ -53,12 +61,57 @@ def encoding(vocabulary: bytes):
     return tiktoken.Encoding("keys", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+def of_words(string: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> bool:
+    """Whether most letters stand in parts of four or more that the vocabulary knows as words."""
+    parts = WORD_PART.findall(string)
+    known = sum(len(w) for w in parts if len(w) >= 4 and len(w) > most * len(encode(w.lower())))
+    return 2 * known > sum(map(len, parts))
+
+
 def is_random(string: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> bool:
     """Whether the vocabulary spends a token on ``most`` characters or fewer, and no known kind of
     string explains it."""
-    if DIGEST.fullmatch(string) or IDENTIFIER.fullmatch(string):
+    if DIGEST.fullmatch(string) or NUMBER.fullmatch(string) or len(string) > most * len(encode(string)):
         return False
-    return len(string) <= most * len(encode(string))
+    return not (LETTERS.fullmatch(string) and (
+        max(map(len, PART.findall(string)), default=0) < 4 or of_words(string, encode, most)))
+
+
+def random_stretches(string: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """Where ``string`` is random: all of it, or stretches of its parts between separators.
+
+    A part counts what it lies below ``most`` characters per token; a stretch is the run of parts with the
+    highest sum, and then the same on both sides of it.  Numbers, digests and UUIDs are not in a stretch."""
+    uuids = [m.span() for m in UUID.finditer(string)]
+    if not uuids and is_random(string, encode, most):
+        return [(0, len(string))]
+    runs: list[list[tuple[int, int, float]]] = [[]]
+    for m in PART.finditer(string):
+        part, (start, end) = m.group(), m.span()
+        if NUMBER.fullmatch(part) or DIGEST.fullmatch(part) or any(s <= start < e for s, e in uuids):
+            runs.append([])
+        else:
+            runs[-1].append((start, end, most * len(encode(part)) - (end - start)))
+    out = []
+    while runs:
+        run = runs.pop()
+        best, first, total, chosen = 0.0, 0, 0.0, None
+        for i, (_, _, score) in enumerate(run):
+            if total <= 0:
+                first, total = i, 0.0
+            total += score
+            if total > best:
+                best, chosen = total, (first, i)
+        if chosen is None:
+            continue
+        i, j = chosen
+        start, end = run[i][0], run[j][1]
+        # Short names in a row are no key: its parts alone must be long enough.
+        long = sum(e - s for s, e, _ in run[i:j + 1] if e - s >= 4)
+        if long >= LEAST_LONG and end - start >= LEAST and is_random(string[start:end], encode, most):
+            out.append((start, end))
+        runs += [run[:i], run[j + 1:]]
+    return sorted(out)
 
 
 def known_shapes(text: str) -> list[Span]:
@@ -76,8 +129,8 @@ def spans_in(text: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> list[Span
     for m in CANDIDATE.finditer(text):
         while at < len(known) and known[at][0] < m.end():
             reach, at = max(reach, known[at][1]), at + 1
-        if reach <= m.start() and is_random(m.group(), encode, most):
-            found.append(("random", m.start(), m.end()))
+        if reach <= m.start():
+            found += [("random", m.start() + s, m.start() + e) for s, e in random_stretches(m.group(), encode, most)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -107,6 +107,27 @@ def test_secrets_by_token_efficiency():
         assert not secrets.is_random(plain, encode)
 
 
+def test_secrets_of_letters_and_inside_paths_and_names():
+    import string
+    with open(secrets.VOCABULARY, "rb") as file:
+        encode = secrets.encoding(file.read()).encode_ordinary
+    rng = random.Random(6)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        keys = ["".join(rng.choices(letters, k=rng.randint(20, 40))) for _ in range(300)]
+        assert sum(secrets.is_random(k, encode) for k in keys) >= 294, letters
+    for before in ("/documentation/integration/services/production/keys/", "customer_integration_production_access_"):
+        hits = 0
+        for _ in range(300):
+            key = "".join(rng.choices(string.ascii_letters + string.digits, k=24))
+            got = secrets.spans_in(f"at {before}{key} now", encode)
+            hits += any(s <= len(before) + 3 and e == len(before) + 27 for _, s, e in got)
+        assert hits >= 294, before
+    for plain in ("customerIntegrationProductionAccess", "getHTTPResponseFromServerUrl", "internal_service_configuration",
+                  "/documentation/integration/services/production/keys/", "/usr/lib/python/site/a/b/c/d/e/f/index",
+                  "/documentation/objects/123e4567-e89b-12d3-a456-426614174000/view"):
+        assert not secrets.spans_in(plain, encode), plain
+
+
 def test_decontamination(spark, docs, awkward):
     rng = random.Random(9)
     long = dict(awkward)[30]
