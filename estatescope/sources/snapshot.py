@@ -13,11 +13,11 @@ REJECT = "_rejected"
 
 
 def read_snapshot(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
-                  multi_line: bool | None = None) -> DataFrame:
+                  multi_line: bool = True) -> DataFrame:
     """The snapshot table ``name`` below ``path``, with its declared schema.
 
-    A CSV file whose values can hold line ends cannot be split among tasks.  Unless the caller says
-    so, only tables with a ``definition`` are read that way.
+    A CSV file whose values can hold line ends cannot be split among tasks.  Any text may hold them, so
+    CSV is read that way unless the caller knows better (``multi_line=False``).
 
     In CSV and JSON, rows that do not fit the schema keep their raw text in
     ``_rejected`` (see :func:`split_rejected`) instead of failing the job.
@@ -30,8 +30,7 @@ def read_snapshot(spark: SparkSession, path: str, name: str, fmt: str = "parquet
         schema += f", {REJECT} string"
         reader = reader.option("columnNameOfCorruptRecord", REJECT).option("mode", "PERMISSIVE")
     if fmt == "csv":
-        lines = "definition" in BRONZE[name] if multi_line is None else multi_line
-        reader = reader.option("header", "true").option("multiLine", lines).option("escape", '"')
+        reader = reader.option("header", "true").option("multiLine", multi_line).option("escape", '"')
     return reader.schema(schema).format(fmt).load(f"{path.rstrip('/')}/{name}")
 
 

@@ -1,10 +1,13 @@
 """Snapshot reading, sinks, and the stored assessment."""
 
+import csv
+
 import pytest
 from pyspark.sql import functions as F
 
 from estatescope.plans.assessment import run_assessment
 from estatescope.sources import sinks
+from estatescope.sources.schemas import BRONZE
 from estatescope.sources.snapshot import read_all, read_snapshot, split_rejected
 
 
@@ -40,6 +43,20 @@ def test_bad_rows_are_kept_apart(spark, tmp_path):
     assert "no number" in bad.first()[0]
 
 
+@pytest.mark.parametrize("name, column", [("jobsteps", "command"), ("jobs", "description"), ("servers", "description")])
+def test_csv_values_hold_line_ends(spark, tmp_path, name, column):
+    value = 'first line\nsecond, "quoted" line\n\nlast'
+    empty = spark.createDataFrame([], BRONZE[name])
+    fields = {f: value if f == column else "1" if f == "server_id" else "" for f in empty.columns}
+    (tmp_path / name).mkdir()
+    with open(tmp_path / name / "a.csv", "w", newline="") as file:
+        writer = csv.DictWriter(file, fields)
+        writer.writeheader()
+        writer.writerows([fields, fields])
+    good, bad = split_rejected(read_all(spark, str(tmp_path), "csv")[name])
+    assert [r[column] for r in good.collect()] == [value, value] and bad.isEmpty()
+
+
 def test_missing_views_are_empty(spark, tmp_path):
     assert read_all(spark, str(tmp_path))["indexes"].count() == 0
 
