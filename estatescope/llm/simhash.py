@@ -5,9 +5,9 @@ fingerprints link when at most ``ERRORS`` bits differ.  Links are found by walki
 from the top: the bits in which the two paths differ are added up, and a pair is left as soon as its
 sum exceeds the budget; what the two leaves of a surviving pair differ in is then at most the budget.
 
-So that the walk can be dealt out, the trie is kept in five rotations of the bits: of five blocks at
-least one is free of errors, so in that rotation a pair shares its first 12 or 13 levels and meets
-below one node.  Such a node is a task of its own; a node with more than ``LEAF`` fingerprints
+So that the walk can be dealt out, the trie is kept in one rotation of the bits more than there may be errors
+(five): of five blocks at least one is free of errors, so in that rotation a pair shares its first 12 or
+13 levels and meets below one node.  Such a node is a task of its own; a node with more than ``LEAF`` fingerprints
 is walked further down by joins of nodes (eight levels at a time) until its pairs are small, so a hot node
 becomes many tasks.  Equal fingerprints are one leaf, and each task reduces its links to a forest, so
 copies never become pairs.
@@ -32,11 +32,22 @@ from estatescope.llm.texts import packed, pieces
 from estatescope.workspace import stored, work_folder
 
 SHINGLE, ERRORS, SEED = 4, 4, 42
-#: Where each rotation starts and how many levels its error-free block has.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: A node with more fingerprints is walked down by joins before its members meet in a task.
 LEAF = 2048
-_DEPTHS = [13, 21, 29, 37, 45, 53, 61, 64]
+
+
+def blocks(errors: int) -> list[tuple[int, int]]:
+    """Where each rotation starts and how many levels its error-free block has: one block more than errors."""
+    if not 0 <= errors < 64:
+        raise ValueError("errors must be 0 to 63")
+    size, more = divmod(64, errors + 1)
+    ends = [size * (i + 1) + min(i + 1, more) for i in range(errors + 1)]
+    return [(a, b - a) for a, b in zip([0, *ends], ends)]
+
+
+def _depths(errors: int) -> list[int]:
+    """The levels at which nodes are joined, from that of the largest block on."""
+    return [*range(blocks(errors)[0][1], 64, 8), 64]
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -85,18 +96,19 @@ def _top(value: Column | str, bits: int) -> Column:
     return F.shiftrightunsigned(value, 64 - bits) if bits < 64 else F.col(value)
 
 
-def _members(values: DataFrame) -> DataFrame:
+def _members(values: DataFrame, errors: int) -> DataFrame:
     """Each fingerprint in each rotation, with the depth of the rotation's free block and its node."""
     turned = [F.struct(F.lit(r).alias("turn"), F.lit(d).alias("depth"), (
         F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")).alias("v"))
-        for r, (s, d) in enumerate(BLOCKS)]
+        for r, (s, d) in enumerate(blocks(errors))]
     out = values.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
-    return out.withColumn("node", F.when(F.col("depth") == 13, _top("v", 13)).otherwise(_top("v", 12)))
+    depths = {d for _, d in blocks(errors)}  # one, or two
+    return out.withColumn("node", F.coalesce(*[F.when(F.col("depth") == d, _top("v", d)) for d in sorted(depths)]))
 
 
 def _tasks(values: DataFrame, folder: str, leaf: int, errors: int) -> DataFrame:
     """(turn, depth, a, b, err, v): the members of each pair of nodes that is small enough."""
-    members = _members(values)
+    members, depths = _members(values, errors), _depths(errors)
     crowded = stored(members.groupBy("turn", "depth", "node").agg(F.count("*").alias("n"))
                      .where(F.col("n") > leaf), f"{folder}/crowded")
     node = F.col("node")
@@ -108,8 +120,8 @@ def _tasks(values: DataFrame, folder: str, leaf: int, errors: int) -> DataFrame:
     below = stored(members.join(crowded.select("turn", "node"), ["turn", "node"], "left_semi"),
                    f"{folder}/below")
     pairs = crowded.select("turn", node.alias("a"), node.alias("b"), F.lit(0).alias("err"))
-    for level, depth in enumerate(_DEPTHS[1:]):
-        parent = node if level == 0 else _top("v", _DEPTHS[level])
+    for level, depth in enumerate(depths[1:]):
+        parent = node if level == 0 else _top("v", depths[level])
         children = below.groupBy("turn", parent.alias("parent"), _top("v", depth).alias("child")) \
             .agg(F.count("*").alias("n"))
         side = lambda s: children.select(
@@ -253,7 +265,7 @@ def links(values: DataFrame, folder: str, leaf: int = LEAF, errors: int = ERRORS
                               t["err"][starts].astype(np.int64), int(depth), errors)
                 root = forest(len(v), i, j)
                 own = np.flatnonzero(root != np.arange(len(v)))
-                shift = np.array([BLOCKS[r][0] for r in t["turn"][own]], np.uint64)
+                shift = np.array([blocks(errors)[r][0] for r in t["turn"][own]], np.uint64)
                 back = lambda x: (x >> shift | x << (np.uint64(64) - shift) % np.uint64(64)).view(np.int64)  # noqa: E731,B023
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(back(v[own])), pa.array(back(v[root[own]]))], ["a", "b"])

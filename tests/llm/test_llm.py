@@ -192,6 +192,28 @@ def test_trie_join_loses_no_link(spark, leaf):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("errors", [0, 3, 7])
+def test_trie_join_loses_no_link_at_other_budgets(spark, errors):
+    """Pairs whose differing bits are dealt out over the five blocks of the registered budget and more."""
+    ship(spark)
+    rng = random.Random(errors)
+    fps = set()
+    for _ in range(60):
+        center = rng.getrandbits(64)
+        near = center
+        for k in range(errors):
+            near ^= 1 << (k * 64 // errors + rng.randrange(64 // errors))
+        fps |= {center, near}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    folder = work_folder(spark, "test-budgets")
+    values = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    got = {frozenset((r.a, r.b)) for r in simhash.links(values, folder, errors=errors).collect()}
+    want = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[:i]
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= errors}
+    assert got == want
+
+
 def test_representatives_keep_one_row_of_each_component(spark):
     rows = [(1, "one two three four five six"), (2, "One two three four five six"), (3, "other words are here today"),
             (3, "other words are here today"), (None, "alone without an id"), (7, None), (8, "")]
