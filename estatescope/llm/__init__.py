@@ -5,7 +5,8 @@ the named columns; the query at the end of its module applies it to the whole of
 """
 
 from estatescope.llm import (  # noqa: F401
-    decontamination, language, mixing, pii, quality, secrets, sharding, simhash, substrings, suffixes,
+    bpe, decontamination, language, mixing, pii, quality, ranked_search, secrets, sharding, simhash, substrings, suffixes,
+    vector_codes,
 )
 from estatescope.llm.registry import QUERIES, SQL, Query
 
