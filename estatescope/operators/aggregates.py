@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from estatescope.functions.fixed_values import SIZE_LIMITS
 
 
+def flag(condition: Column) -> Column:
+    """1 for a row that satisfies the condition, else 0: what a count of such rows adds up."""
+    return F.when(condition, 1).otherwise(0)
+
+
 def count_if(condition: Column) -> Column:
     """Rows that satisfy the condition; NULL (not 0) when there are no rows at all."""
-    return F.sum(F.when(condition, 1).otherwise(0))
+    return F.sum(flag(condition))
 
 
 def sum_if(condition: Column, value: Column) -> Column:
@@ -23,23 +28,29 @@ def row_count() -> Column:
     return F.sum(F.lit(1))
 
 
-def size_buckets(rows: Column, among: Column | None = None,
+def size_classes(rows: Column, among: Column | None = None,
                  limits: tuple[int, int, int] = SIZE_LIMITS) -> dict[str, Column]:
-    """Counts of Empty, Small, Medium, Large and VeryLarge rows as aggregate columns.
+    """Flags of Empty, Small, Medium, Large and VeryLarge rows.
 
     Empty is NULL or 0; each class ends at its limit, inclusive.
     """
     small, medium, large = limits
     among = F.lit(True) if among is None else among
     return {
-        "empty": count_if(among & (F.coalesce(rows, F.lit(0)) == 0)),
-        "small": count_if(among & rows.between(1, small)),
-        "medium": count_if(among & rows.between(small + 1, medium)),
-        "large": count_if(among & rows.between(medium + 1, large)),
-        "very_large": count_if(among & (rows > large)),
+        "empty": flag(among & (F.coalesce(rows, F.lit(0)) == 0)),
+        "small": flag(among & rows.between(1, small)),
+        "medium": flag(among & rows.between(small + 1, medium)),
+        "large": flag(among & rows.between(medium + 1, large)),
+        "very_large": flag(among & (rows > large)),
     }
 
 
+def size_buckets(rows: Column, among: Column | None = None,
+                 limits: tuple[int, int, int] = SIZE_LIMITS) -> dict[str, Column]:
+    """The counts of the size classes as aggregate columns."""
+    return {name: F.sum(value) for name, value in size_classes(rows, among, limits).items()}
+
+
 def ordered_names(order: Column, name: Column, when: Column | None = None) -> Column:
     """Aggregate: array of names by (order, name); NULL if there are none.
 

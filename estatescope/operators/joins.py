@@ -5,6 +5,7 @@ measured, is below its threshold, and splits skewed partitions otherwise.  Every
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,6 +20,19 @@ def rollup_left(left: DataFrame, right: DataFrame, on: Sequence[str], **aggs: Co
     return left.join(totals, list(on), "left")
 
 
+def rollup_union(left: DataFrame, on: Sequence[str], *inputs: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """Every left row with sums over the rows of several inputs (NULL where an input has no rows).
+
+    Each input is a DataFrame and its measures: a value per row, whose sum is wanted.  All inputs are rows of one
+    union and one aggregate, summed up in the task that reads them, so the rows of any number of inputs
+    move once, one per key and task, where a rollup and a join for each would move every key once per input.
+    """
+    rows = [df.select(*on, *[value.alias(name) for name, value in values.items()]) for df, values in inputs]
+    names = [name for _, values in inputs for name in values]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return left.join(every.groupBy(*on).agg(*[F.sum(n).alias(n) for n in names]), list(on), "left")
+
+
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column],
                     n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group.  ``order`` must be total for a stable result.

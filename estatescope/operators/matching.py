@@ -3,7 +3,9 @@
 "Text contains term" is not an equality, and comparing every text with every
 term costs their product.  Here it is turned into an equality.  The usual search has
 suffixes (``name.`` and ``name].``): only stretches in front of a suffix can match, a
-handful per text, and those of the terms' lengths are joined to the terms.
+handful per text.  Terms are indexed by their end: the last ``KEY`` characters, or all of a shorter one.  A stretch
+asks for its last 1 to ``KEY`` characters, so it is a few rows however many lengths the terms have, and whether
+the whole term stands there is then seen in the stretch.
 
 Without a suffix a term can stand anywhere.  Then a part of it is looked for, piece by piece of the text:
 the ``ANCHOR`` characters after its first blank, which only the blanks of a text can be in front of; of a
@@ -19,9 +21,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from estatescope.functions.scalars import in_string_count
-
 SUFFIXES = (".", "].")
+#: Characters of a key, and of the stretch that goes with it; names of catalog objects have at most 128.
+KEY, REACH = 8, 128
 #: Characters of a term that are looked for everywhere in a text, and the pieces a text is cut into.
 ANCHOR, PIECE = 8, 4096
 
@@ -32,21 +34,6 @@ def _split_at(text: Column, mark: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def _before_mark(pieces: Column, mark: str, reach: Column, span: Column) -> Column:
-    """For each occurrence of the mark: up to ``reach`` characters in front of it.
-
-    A term may hold the mark itself (host.domain), up to ``span`` times, so a stretch
-    looks back over that many pieces.
-    """
-    def stretch(piece: Column, i: Column) -> Column:
-        first = F.greatest(i - span, F.lit(0))
-        back = F.array_join(F.slice(pieces, first + 1, i - first + 1), mark)
-        return F.right(F.when(span == 0, piece).otherwise(back), reach)
-
-    ends = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    return F.array_distinct(F.transform(ends, stretch))
-
-
 def _marks(suffixes: Sequence[str]) -> dict[str, list[str]]:
     """Shortest suffixes, each with what longer suffixes have in front of it.
 
@@ -61,26 +48,65 @@ def _marks(suffixes: Sequence[str]) -> dict[str, list[str]]:
     return marks
 
 
-def _with_stretches(texts: DataFrame, keys: Sequence[str], suffixes: Sequence[str]) -> DataFrame:
-    """One row per text and candidate stretch (``_term``); repeats are possible."""
-    longest = F.array_max("_lengths")
-    frames = []
-    for i, (mark, fronts) in enumerate(_marks(suffixes).items()):
-        reach = longest + max(len(f) for f in fronts)
-        tails = _before_mark(F.col("_pieces"), mark, reach, F.element_at("_spans", i + 1))
-        # In front of "]." stands what is in front of the dot, less the bracket.
-        tail = F.col("_tail")
-        stems = [F.when(tail.endswith(f), F.left(tail, F.length(tail) - len(f))) if f else tail
-                 for f in fronts]
-        frames.append(
-            texts.select(*keys, "_lengths", "_spans", _split_at(F.col("_text"), mark)
-                         .alias("_pieces"))
-            .select(*keys, "_lengths", F.explode(tails).alias("_tail"))
-            .select(*keys, "_lengths", F.explode(F.array(*stems)).alias("_stem"))
-            .select(*keys, "_stem", F.explode("_lengths").alias("_n"))
-            .filter(F.col("_n") <= F.length("_stem"))
-            .select(*keys, F.right("_stem", F.col("_n")).alias("_term")))
-    return reduce(DataFrame.unionByName, frames)
+def _with_keys(texts: DataFrame, keys: Sequence[str], mark: str, fronts: Sequence[str]) -> DataFrame:
+    """The index side of the texts: per suffix that ends with ``mark`` and stretch in front of it one row for each key
+    that a term there can have, at most ``KEY`` of them; repeats are possible.
+
+    Only the longest key carries its stretch, ``REACH`` characters of it: the shorter ones are whole terms.
+    """
+    pieces, tail, n = F.col("_pieces"), F.col("_tail"), F.length("_stem")
+    reach = REACH + max(len(f) for f in fronts)
+    tails = F.array_distinct(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.right(p, F.lit(reach))))
+    # In front of "]." stands what is in front of the dot, less the bracket.
+    stems = [F.struct(
+        (F.when(tail.endswith(f), F.left(tail, F.length(tail) - len(f))) if f else tail).alias("_stem"),
+        F.lit(f + mark).alias("_suffix")) for f in fronts]
+    # Nothing in front of the mark is what a term that ends with the mark has there.
+    sizes = F.sequence(F.least(n, F.lit(1)), F.least(n, F.lit(KEY)))
+    return (texts.select(*keys, _split_at(F.col("_text"), mark).alias("_pieces"))
+            .select(*keys, F.explode(tails).alias("_tail"))
+            .select(*keys, F.inline(F.array(*stems))).filter("_stem IS NOT NULL")
+            .select(*keys, "_stem", "_suffix", F.explode(sizes).alias("_n"))
+            .select(*keys, F.right("_stem", F.col("_n")).alias("_key"), "_suffix",
+                    F.when(F.col("_n") == KEY, F.right("_stem", F.lit(REACH))).alias("_stem")))
+
+
+def _key(term: Column, mark: str) -> Column:
+    """The last ``KEY`` characters of what stands behind a term's last mark."""
+    return F.right(F.substring_index(term, mark, -1), F.lit(KEY))
+
+
+def _is_odd(term: Column, mark: str) -> Column:
+    """Terms that their stretch cannot show: those that hold the mark (host.domain) and very long ones."""
+    return F.contains(term, F.lit(mark)) | (F.length(term) > REACH)
+
+
+def _hits_before(texts: DataFrame, distinct_terms: DataFrame, keys: Sequence[str], scope: Sequence[str],
+                 mark: str, fronts: Sequence[str]) -> DataFrame:
+    """Texts and terms of the same scope of which the text holds the term and a suffix.
+
+    Terms are indexed by their last characters, so a term of any length is one row with one key.  What the key
+    leaves open the stretch answers; odd terms are looked up in the whole texts that hold their key.
+    """
+    term, odd = F.col("_term"), F.col("_odd")
+    indexed = distinct_terms.withColumns({"_key": _key(term, mark), "_odd": _is_odd(term, mark)})
+    found = (_with_keys(texts, keys, mark, fronts).join(indexed, [*scope, "_key"])
+             .filter(odd | (F.length("_key") < KEY) | F.endswith("_stem", term)))
+    # Without odd terms no text is read again.
+    any_odd = distinct_terms.agg(F.coalesce(F.bool_or(_is_odd(term, mark)), F.lit(False))).scalar()
+    return _in_whole(found, texts.filter(any_odd), keys, odd, F.concat("_term", "_suffix"))
+
+
+def _in_whole(candidates: DataFrame, texts: DataFrame, keys: Sequence[str], open_: Column, searched: Column) -> DataFrame:
+    """Candidates that are not open, and those whose text holds ``searched``; only the open ones look for theirs."""
+    own = [f"_own_{k}" for k in keys]
+    whole = texts.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_text",
+                         F.lit(0).cast("long").alias("_own_scatter"))
+    nowhere = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) + 1
+    scattered = candidates.withColumn("_scatter", F.when(open_, F.lit(0)).otherwise(nowhere))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)],
+                  F.col("_scatter") == F.col("_own_scatter"))
+    return scattered.join(whole, same, "left").filter(~open_ | F.contains("_text", searched))
 
 
 def _anywhere(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,12 +142,7 @@ def _hits_anywhere(texts: DataFrame, distinct_terms: DataFrame, keys: Sequence[s
     """Texts and terms of the same scope of which the text holds the whole term."""
     parts = distinct_terms.withColumns({"_n": _part_kind(F.col("_term")), "_start": _part(F.col("_term"))})
     begun = _anywhere(texts, keys).join(parts, [*scope, "_n", "_start"]).drop("_n", "_start").distinct()
-    short = begun.filter(F.length("_term") <= ANCHOR)
-    whole = texts.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "_text")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in keys])
-    long = (begun.filter(F.length("_term") > ANCHOR).join(whole, same)
-            .filter(F.contains("_text", "_term")).select(begun.columns))
-    return short.unionByName(long)
+    return _in_whole(begun, texts.filter("_any_long"), keys, F.length("_term") > ANCHOR, F.col("_term"))
 
 
 def _distinct_terms(terms: DataFrame, term_col: str, by: Sequence[str]) -> DataFrame:
@@ -134,27 +155,19 @@ def _hits(texts: DataFrame, terms: DataFrame, keys: Sequence[str], text_col: str
           term_col: str, suffixes: Sequence[str], scope: Sequence[str],
           kinds: Sequence[str]) -> DataFrame:
     columns = list(dict.fromkeys([*keys, *scope]))
-    # What the tasks must know of the terms reaches them as two small arrays: the lengths
-    # that occur, and how often a term holds each mark.
-    term = F.lower(term_col)
-    shape = (terms.filter(F.length(term_col) > 0)
-             .agg(F.struct(
-                 F.sort_array(F.collect_set(F.length(term))).alias("lengths"),
-                 F.array(*[F.max(in_string_count(term, m)).cast("int")
-                           for m in _marks(suffixes)], F.lit(0)).alias("spans"),
-                 F.collect_set(_part_kind(term)).alias("parts")))
-             .scalar())
-    prepared = (texts.filter(F.col(text_col).isNotNull())
-                .select(*columns, F.lower(text_col).alias("_text"), shape.alias("_shape"))
-                .select(*columns, "_text", F.col("_shape.lengths").alias("_lengths"),
-                        F.col("_shape.spans").alias("_spans"), F.col("_shape.parts").alias("_parts")))
+    prepared = texts.filter(F.col(text_col).isNotNull()).select(*columns, F.lower(text_col).alias("_text"))
     distinct_terms = _distinct_terms(terms, term_col, [*scope, *kinds])
-    found = []
-    if _marks(suffixes):
-        found.append(_with_stretches(prepared, columns, suffixes)
-                     .join(distinct_terms, [*scope, "_term"]).select(*keys, *kinds, term_col))
+    found = [_hits_before(prepared, distinct_terms, columns, scope, mark, fronts).select(*keys, *kinds, term_col)
+             for mark, fronts in _marks(suffixes).items()]
     if "" in suffixes:
-        found.append(_hits_anywhere(prepared, distinct_terms, columns, scope)
+        # What the tasks must know of all terms is a few small numbers: which lengths of parts occur.
+        term = F.lower(term_col)
+        shape = (terms.filter(F.length(term_col) > 0)
+                 .agg(F.struct(F.bool_or(F.length(term) > ANCHOR).alias("long"),
+                               F.collect_set(_part_kind(term)).alias("parts"))).scalar())
+        anywhere = prepared.select(*columns, "_text", shape.alias("_shape")).select(
+            *columns, "_text", F.col("_shape.parts").alias("_parts"), F.col("_shape.long").alias("_any_long"))
+        found.append(_hits_anywhere(anywhere, distinct_terms, columns, scope)
                      .select(*keys, *kinds, term_col))
     return reduce(DataFrame.unionByName, found)
 
@@ -190,9 +203,10 @@ def reference_tokens(texts: DataFrame, terms: DataFrame, keys: Sequence[str], te
 
     In brackets any name counts: ``[SRV-01].``"""
     columns = list(dict.fromkeys([*keys, *scope]))
-    bare, bracketed = (F.regexp_extract_all(F.lower(text_col), F.lit(p), F.lit(1)) for p in (
-        r"([\p{L}\p{N}_@#$]+)\.", r"\[([^\[\]]+)\]\."))
-    names = F.array_distinct(F.concat(bare, bracketed))
+    # A name is tried once, from its first character: neither its rest nor less of it is tried again.
+    bare, bracketed = (F.regexp_extract_all(text_col, F.lit(p), F.lit(1)) for p in (
+        r"(?<![\p{L}\p{N}_@#$])([\p{L}\p{N}_@#$]++)\.", r"\[([^\[\]]++)\]\."))
+    names = F.array_distinct(F.transform(F.concat(bare, bracketed), F.lower))
     found = (texts.filter(F.col(text_col).isNotNull())
              .select(*columns, F.explode(names).alias("_term")))
     return (found.join(_distinct_terms(terms, term_col, scope), [*scope, "_term"])

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from estatescope.plans import rules, views
 from estatescope.plans.reports import report_jobs
 from estatescope.sources import collectors as c
-from estatescope.sources.sinks import ERRORS, append, collect_all, failure, refresh, replace
-from estatescope.sources.snapshot import read_all
+from estatescope.sources.sinks import ERRORS, add_missing, append, collect_all, failure, refresh, replace
+from estatescope.sources.snapshot import land
+from estatescope.sources.texts import KEY, TEXT, load_texts, with_texts
 
 Tables = dict[str, DataFrame]
 Jobs = dict[str, Callable[[Tables], DataFrame]]
@@ -54,6 +55,7 @@ def inventory_jobs(b: Tables, as_of: Column | None = None, mode: str = "referenc
                                                 b["schedules"], s["jobs"]),
         "database_files": lambda s: c.load_database_files(
             b["database_files"], b["data_spaces"], named(s)),
+        "texts": lambda s: load_texts(b),
         "objects": lambda s: c.load_database_objects(known(s), named(s), mode),
         "columns": lambda s: c.load_columns(b, named(s), s["objects"], mode=mode),
         "index_usage": lambda s: c.load_index_usage(b, named(s), s["objects"], mode),
@@ -76,25 +78,26 @@ def gold_jobs(s: Tables, mode: str = "reference") -> Jobs:
         "cluster_nodes_view": lambda g: views.cluster_nodes_view(s),
         "jobs_view": lambda g: views.jobs_view(s),
         "volumes_view": lambda g: views.volumes_view(s),
-        "routine_findings": lambda g: rules.routine_findings(g["objects_view"]),
+        "routine_findings": lambda g: rules.routine_findings(g["objects_view"], s["texts"]),
         "column_findings": lambda g: rules.column_findings(g["columns_view"], mode),
         "reference_hits": lambda g: rules.reference_hits(
-            g["objects_view"], s["linked_servers"], s["databases"], mode),
+            g["objects_view"], s["texts"], s["linked_servers"], s["databases"], mode),
         "cross_server_hits": lambda g: rules.cross_server_hits(g["reference_hits"]),
         "cross_database_hits": lambda g: rules.cross_database_hits(g["reference_hits"]),
     }
 
 
-def rule_jobs(g: Tables) -> Jobs:
-    """The eight rule tables, as filters on the findings."""
+def rule_jobs(g: Tables, s: Tables) -> Jobs:
+    """The eight rule tables, as filters on the findings; those of routines with the text."""
     return {
-        "cross_server_routines": lambda _: rules.with_text(
-            g["cross_server_hits"], g["objects_view"]),
-        "cross_database_routines": lambda _: rules.with_text(
-            g["cross_database_hits"], g["objects_view"]),
-        "incompatible_routine_types": lambda _: rules.incompatible_routine_types(
-            g["routine_findings"]),
-        "incompatible_routines": lambda _: rules.incompatible_routines(g["routine_findings"]),
+        "cross_server_routines": lambda _: with_texts(
+            g["cross_server_hits"].drop("schema_key", "object_key"), s["texts"]),
+        "cross_database_routines": lambda _: with_texts(
+            g["cross_database_hits"].drop("schema_key", "object_key"), s["texts"]),
+        "incompatible_routine_types": lambda _: with_texts(
+            rules.incompatible_routine_types(g["routine_findings"]), s["texts"]),
+        "incompatible_routines": lambda _: with_texts(
+            rules.incompatible_routines(g["routine_findings"]), s["texts"]),
         "incompatible_columns": lambda _: rules.incompatible_columns(g["column_findings"]),
         "computed_columns": lambda _: rules.computed_columns(g["column_findings"]),
         "large_text_columns": lambda _: rules.large_text_columns(g["column_findings"]),
@@ -131,24 +134,31 @@ def run_assessment(spark: SparkSession, snapshot: str, out: str, fmt: str = "par
     outlive an executor, and evaluates shared views once instead of once per report.  Tables are
     partitioned by server; with ``server_ids`` only those servers' rows are loaded and replaced, and
     the reports cover all.  A table that fails is logged and left out, and so is, with that
-    cause, whatever needs it; all other reports are returned.
+    cause, whatever needs it; all other reports are written, too, and returned in their order.  Rows of CSV and JSON
+    that do not fit go to ``<out>/rejected`` and into the log, not into the tables.
     """
     def write(df: DataFrame, path: str) -> None:
         if "server_id" in df.columns:
             refresh(df, path, server_ids)
+        elif server_ids is not None and df.columns == [KEY, TEXT]:  # the other servers' texts stay
+            add_missing(df, path, [KEY])
         else:
             replace(df, path)
 
     missing: list[str] = []
-    b = read_all(spark, snapshot, fmt, missing)
+    b, rejected = land(spark, snapshot, fmt, out, missing)
     s, errors = collect_all(spark, inventory_jobs(b, as_of, mode), f"{out}/inventory", write)
     g, more = collect_all(spark, gold_jobs(s, mode), f"{out}/gold", write)
-    _, rest = collect_all(spark, rule_jobs(g), f"{out}/rules", write)
+    _, rest = collect_all(spark, rule_jobs(g, s), f"{out}/rules", write)
     made, now = {}, datetime.now()
     failures = [(now, f"no folder {snapshot}/{name}: read as empty", f"snapshot {name}") for name in missing]
+    failures += [(now, f"{n} rows do not fit the schema: {out}/rejected/{name}", f"snapshot {name}")
+                 for name, n in rejected.items()]
     for name, job in report_jobs(g, s, mode).items():
         try:
-            made[name] = job()
+            report = job()
+            replace(report, f"{out}/reports/{name}")
+            made[name] = report
         except Exception as error:  # the reports that do not need a failed table are still made
             failures.append(failure(error, f"report {name}", now))
     missed = spark.createDataFrame(failures, ERRORS)

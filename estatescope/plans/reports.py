@@ -14,7 +14,9 @@ from estatescope.functions import fixed_values as fv
 from estatescope.functions.scalars import like_ci, name_key
 from estatescope.operators.aggregates import distinct_names
 from estatescope.operators.joins import rollup_left
+from estatescope.operators.ordering import order_then_attach
 from estatescope.plans.views import not_system
+from estatescope.sources.texts import with_texts
 
 DB = ["server_id", "database_id"]
 NAMED = [*DB, "schema_key", "object_key"]
@@ -98,7 +100,7 @@ def databases_report(g: Tables, s: Tables) -> DataFrame:
         df, g["column_findings"], DB,
         _incompatible=F.sum("incompatible_column"), _computed=F.sum("computed_column"),
         _large=F.sum("large_text_column"), _defaults=F.sum("invalid_default"))
-    found = ((F.col("incompatible_type") == 1) & F.col("routine_definition").isNotNull())
+    found = ((F.col("incompatible_type") == 1) & F.col("text_key").isNotNull())
     df = rollup_left(
         df, g["routine_findings"], DB,
         _xml=F.sum("uses_for_xml"), _cursor=F.sum("uses_cursor"),
@@ -184,9 +186,9 @@ def indexes_report(s: Tables) -> DataFrame:
                  "allocation_desc"))
 
 
-def routines_report(g: Tables) -> DataFrame:
-    """Every object but tables, with the servers and databases its text names."""
-    return (
+def routines_report(g: Tables, s: Tables) -> DataFrame:
+    """Every object but tables, with the servers and databases its text names; texts come in when all is sorted."""
+    rows = (
         g["routine_findings"].filter(F.col("xtype") != "U")
         .join(_named_by(g["reference_hits"], NAMED), NAMED, "left")
         .select(*_headed(
@@ -194,8 +196,10 @@ def routines_report(g: Tables) -> DataFrame:
             TypeDesc="type_desc", ObjectName="object_name",
             SQL_DATA_ACCESS=_blank("sql_data_access"), LinkedServers=_blank("_xs_list"),
             XOutDbs=_blank("_xo_list"), UsesForXML="uses_for_xml", UsesCursor="uses_cursor",
-            IncompatibleType="incompatible_type", ROUTINE_DEFINITION="routine_definition"))
-        .orderBy("DatabaseName", "SchemaName", "Xtype", "TypeDesc", "ObjectName"))
+            IncompatibleType="incompatible_type"), "text_key"))
+    order = ["DatabaseName", "SchemaName", "Xtype", "TypeDesc", "ObjectName"]
+    return order_then_attach(rows, order, lambda df: with_texts(df, s["texts"])).withColumnRenamed(
+        "routine_definition", "ROUTINE_DEFINITION")
 
 
 def sequences_report(s: Tables) -> DataFrame:
@@ -221,7 +225,7 @@ def report_jobs(g: Tables, s: Tables, mode: str = "reference") -> dict[str, Call
         "tables": lambda: tables_report(g),
         "columns": lambda: columns_report(g, mode),
         "indexes": lambda: indexes_report(s),
-        "routines": lambda: routines_report(g),
+        "routines": lambda: routines_report(g, s),
         "sequences": lambda: sequences_report(s),
         "linked_servers": lambda: linked_servers_report(s),
     }

@@ -2,7 +2,8 @@
 
 Routine rules are flags on the objects view and column rules flags on the columns
 view: each is computed in one pass over the text or the columns, and a rule's table is a
-filter on its flag.  The two reference rules look for names in the text.
+filter on its flag.  The two reference rules look for names in the text.  Tables of routines carry the key of the
+text; ``with_texts`` attaches it last.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from estatescope.functions import fixed_values as fv
 from estatescope.functions.scalars import kind_description, like_ci, name_key, text_flag
-from estatescope.operators.matching import SUFFIXES, all_matches, first_match
+from estatescope.operators.joins import left_lookup
+from estatescope.operators.matching import SUFFIXES, all_matches
+from estatescope.sources.texts import KEY, TEXT
 
 DB = ["server_id", "database_id"]
 NAMED = [*DB, "schema_key", "object_key"]
 
-_ROUTINE = [*DB, "database_name", "xtype", "schema_name", "object_name", "routine_definition"]
+_ROUTINE = [*DB, "database_name", "xtype", "schema_name", "object_name", KEY]
 _COLUMN = [*DB, "database_name", "table_schema", "table_catalog", "table_name", "column_name",
            "ordinal_position", "is_nullable", "collation_name", "character_maximum_length",
            "data_type"]
@@ -25,23 +28,27 @@ _COLUMN = [*DB, "database_name", "table_schema", "table_catalog", "table_name",
 _FOUND_IN = [*NAMED, "database_name", "xtype", "schema_name", "object_name"]
 
 
-def reference_hits(objects_view: DataFrame, linked_servers: DataFrame, databases: DataFrame,
-                   mode: str = "reference",
+def reference_hits(objects_view: DataFrame, texts: DataFrame, linked_servers: DataFrame,
+                   databases: DataFrame, mode: str = "reference",
                    suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """Routines (without their text) and the linked servers and databases their text names.
+    """Routines (with the key of their text) and the linked servers and databases their text names.
 
-    Both kinds of names are searched in one pass over the texts, each text only for
-    names of its own server.  ``reference`` keeps one name per routine and kind (the first)
-    and then drops it if it is the routine's own database; ``intended`` keeps every
-    name but that.
+    Both kinds of names are searched in one pass over the different texts, each of them once for all servers; a
+    routine is then given the names of its own server among those that its text holds.  ``reference`` keeps
+    one name per routine and kind (the first) and then drops it if it is the routine's own database;
+    ``intended`` keeps every name but that.
     """
-    find = first_match if mode == "reference" else all_matches
     names = linked_servers.select(
         "server_id", F.lit("server").alias("refers_to"), F.col("linked_server").alias("name")
     ).unionByName(databases.select(
         "server_id", F.lit("database").alias("refers_to"), F.col("database_name").alias("name")))
-    hits = find(objects_view, names, _FOUND_IN, "routine_definition", "name", suffixes,
-                ["server_id"], ["refers_to"])
+    names = (names.groupBy("server_id", "refers_to", name_key(F.col("name")).alias("_name"))
+             .agg(F.min("name").alias("name")))
+    held = all_matches(texts, names.select("_name").distinct(), [KEY], TEXT, "_name", suffixes)
+    hits = (objects_view.filter(F.col(KEY).isNotNull()).select(*_FOUND_IN, KEY)
+            .join(held, KEY).join(names, ["server_id", "_name"]).drop("_name"))
+    if mode == "reference":
+        hits = hits.groupBy(*_FOUND_IN, KEY, "refers_to").agg(F.min("name").alias("name"))
     own = ((F.col("refers_to") == "database")
            & (name_key(F.col("name")) == name_key(F.col("database_name"))))
     return hits.filter(~own)
@@ -57,22 +64,18 @@ def cross_database_hits(hits: DataFrame) -> DataFrame:
             .withColumnRenamed("name", "x_database_name"))
 
 
-def with_text(hits: DataFrame, objects_view: DataFrame) -> DataFrame:
-    """The rule table: hits with the routine's text."""
-    text = objects_view.filter(F.col("routine_definition").isNotNull()).select(
-        *NAMED, "routine_definition")
-    return hits.join(text, NAMED).drop("schema_key", "object_key")
-
-
-def routine_findings(objects_view: DataFrame, xml_pattern: str = fv.FOR_XML_PATTERN,
+def routine_findings(objects_view: DataFrame, texts: DataFrame, xml_pattern: str = fv.FOR_XML_PATTERN,
                      cursor_pattern: str = fv.CURSOR_PATTERN) -> DataFrame:
-    """Every object with its three text and kind flags; the patterns are those of LIKE, without case."""
-    text = F.col("routine_definition")
-    return objects_view.select(
+    """Every object with its three text and kind flags; the patterns are those of LIKE, without case.
+
+    Each different text is tested once; only the keys of those that match come to the objects."""
+    flags = {"uses_for_xml": xml_pattern, "uses_cursor": cursor_pattern}
+    matching = (texts.select(KEY, *[text_flag(F.col(TEXT), p).alias(n) for n, p in flags.items()])
+                .filter(" + ".join(flags) + " > 0"))
+    found = left_lookup(objects_view, matching, [KEY], F.col(KEY).isNotNull(), NAMED)
+    return found.select(
         *NAMED, *_ROUTINE[2:], kind_description(F.col("xtype")).alias("type_desc"),
-        "sql_data_access",
-        text_flag(text, xml_pattern).alias("uses_for_xml"),
-        text_flag(text, cursor_pattern).alias("uses_cursor"),
+        "sql_data_access", *[F.coalesce(n, F.lit(0)).alias(n) for n in flags],
         F.when(F.col("xtype").isin(fv.INCOMPATIBLE_KINDS), 1).otherwise(0)
         .alias("incompatible_type"))
 
@@ -80,7 +83,7 @@ def routine_findings(objects_view: DataFrame, xml_pattern: str = fv.FOR_XML_PATT
 def incompatible_routine_types(findings: DataFrame) -> DataFrame:
     """Objects with a text whose kind has no counterpart."""
     return (findings.filter((F.col("incompatible_type") == 1)
-                            & F.col("routine_definition").isNotNull())
+                            & F.col(KEY).isNotNull())
             .select(*_ROUTINE, "type_desc"))
 
 

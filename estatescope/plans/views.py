@@ -13,9 +13,9 @@ from estatescope.functions import fixed_values as fv
 from estatescope.functions.scalars import (
     column_count, is_key, like_ci, major_version, name_key, thousands,
 )
-from estatescope.operators.aggregates import count_if, row_count, size_buckets, sum_if
+from estatescope.operators.aggregates import count_if, flag, row_count, size_classes
 from estatescope.operators.filters import with_extras
-from estatescope.operators.joins import left_first, left_where, rollup_left
+from estatescope.operators.joins import left_first, left_where, rollup_left, rollup_union
 
 DB = ["server_id", "database_id"]
 NAMED = [*DB, "schema_key", "object_key"]
@@ -32,17 +32,18 @@ def not_system(name: Column | str = "database_name") -> Column:
     return ~F.lower(name).isin(fv.SYSTEM_DATABASES)
 
 
-def _index_rollup(mode: str) -> dict[str, Column]:
+def _index_measures(mode: str) -> dict[str, Column]:
+    """What the rows of the index table add up to."""
     stored = "%column store%" if mode == "reference" else "%columnstore%"
     empty = F.array().cast("array<string>")
     return {
-        "indexes": row_count(),
-        "index_data_size": F.sum("data_size"),
-        "index_used_size": F.sum("used_size"),
-        "unique_indexes": count_if(F.coalesce("is_unique", F.lit(False))),
-        "included_column_indexes": count_if(F.size(F.coalesce("included", empty)) > 0),
-        "filtered_indexes": count_if(F.coalesce("filter_definition", F.lit("")) != ""),
-        "column_stores": count_if(
+        "indexes": F.lit(1),
+        "index_data_size": F.col("data_size"),
+        "index_used_size": F.col("used_size"),
+        "unique_indexes": flag(F.coalesce("is_unique", F.lit(False))),
+        "included_column_indexes": flag(F.size(F.coalesce("included", empty)) > 0),
+        "filtered_indexes": flag(F.coalesce("filter_definition", F.lit("")) != ""),
+        "column_stores": flag(
             like_ci(F.coalesce("data_compression_desc", F.lit("")), stored)),
     }
 
@@ -57,26 +58,30 @@ def index_usage_view(s: Tables) -> DataFrame:
 
 
 def databases_view(s: Tables, mode: str = "reference") -> DataFrame:
-    """Databases with file, object, column and index rollups; sums are NULL where nothing exists."""
+    """Databases with file, object, column and index rollups; sums are NULL where nothing exists.
+
+    The four rollups are one union and one aggregate; only files are first added up per filegroup, to count these."""
     is_table = F.col("xtype") == "U"
     data_file = F.col("filegroup_name").isNotNull()
+    groups = s["database_files"].groupBy(*DB, "filegroup_name").agg(
+        F.count(F.lit(1)).alias("_files"), F.sum("total_mbs").alias("_mbs"))
     own = s["linked_servers"].filter(
         name_key(F.col("linked_server")) == name_key(F.col("server_name"))).select(
         "server_id", "datasource", "location")
     base = (s["servers"].select("server_id", "server_name")
             .join(s["databases"].drop("data_mb", "log_mb"), "server_id")
             .join(own, "server_id", "left"))
-    df = rollup_left(base, s["database_files"], DB, files=row_count(),
-                     file_groups=F.count_distinct("filegroup_name"),
-                     data_mb=sum_if(data_file, F.col("total_mbs")),
-                     log_mb=sum_if(~data_file, F.col("total_mbs")))
-    df = rollup_left(df, s["objects"], DB, rows=F.sum("row_count"), tables=count_if(is_table),
-                     **size_buckets(F.col("row_count"), is_table),
-                     views=count_if(F.col("xtype") == "V"),
-                     procs=count_if(F.col("xtype") == "P"),
-                     functions=count_if(F.col("xtype").isin("TF", "FN")))
-    df = rollup_left(df, s["columns"], DB, columns=row_count())
-    df = rollup_left(df, s["index_usage"], DB, **_index_rollup(mode))
+    df = rollup_union(
+        base, DB,
+        (groups, {"files": F.col("_files"), "file_groups": flag(data_file),
+                  "data_mb": F.when(data_file, F.col("_mbs")).otherwise(0),
+                  "log_mb": F.when(~data_file, F.col("_mbs")).otherwise(0)}),
+        (s["objects"], {"rows": F.col("row_count"), "tables": flag(is_table),
+                        **size_classes(F.col("row_count"), is_table),
+                        "views": flag(F.col("xtype") == "V"), "procs": flag(F.col("xtype") == "P"),
+                        "functions": flag(F.col("xtype").isin("TF", "FN"))}),
+        (s["columns"], {"columns": F.lit(1)}),
+        (s["index_usage"], _index_measures(mode)))
     return df.withColumn("data_mb_s", thousands(F.col("data_mb")))
 
 
@@ -96,7 +101,7 @@ def database_objects_view(s: Tables, mode: str = "reference",
         "index_id", "index_name", "index_type", "data_space", "data_compression_desc", "writes",
         "reads", "cols")))
     df = with_extras(s["objects"], _names(s).filter(not_system()), DB)
-    df = rollup_left(df, index_view, NAMED, _key=key, **_index_rollup(mode))
+    df = rollup_left(df, index_view, NAMED, _key=key, **{n: F.sum(v) for n, v in _index_measures(mode).items()})
     df = rollup_left(
         df, s["columns"], NAMED, _columns=F.count(F.lit(1)),
         has_identity=count_if(F.coalesce("is_identity", F.lit(False))),

@@ -22,6 +22,7 @@ from estatescope.operators.joins import (
 )
 from estatescope.operators.windows import share_of_total, top_n_per_group
 from estatescope.sources.schemas import DATABASE_FLAGS, MIRRORING_FIELDS
+from estatescope.sources.texts import text_key
 
 DB = ["server_id", "database_id"]
 OBJ = [*DB, "object_id"]
@@ -403,7 +404,7 @@ def load_database_files(files: DataFrame, spaces: DataFrame, databases: DataFram
 
 def load_database_objects(b: dict[str, DataFrame], databases: DataFrame,
                           mode: str = "reference") -> DataFrame:
-    """Objects with row count, column rollup, text and sequence values.
+    """Objects with row count, column rollup, the key of their text and sequence values.
 
     ``databases`` is the silver table with ``server_name``.  Data-warehouse databases and the
     generations without sequences lack the fields they do not have.
@@ -450,13 +451,13 @@ def load_database_objects(b: dict[str, DataFrame], databases: DataFrame,
         is_sequence, F.replace("object_key", F.lit("_seq"), F.lit(""))))
     df = left_lookup(df, _sequence_parents(b), [*DB, "_parent_key"], is_sequence, ["object_id"])
 
-    # Texts by name: the four sources hold disjoint kinds, so one join serves all.  It comes
-    # last, so that no text is shuffled for another join.
+    # Texts by name: the four sources hold disjoint kinds, so one join serves all.  It moves keys of
+    # texts, never a text (``texts.py``).
     df = (df.withColumn("_source_kind", F.when(F.col("xtype").isin("P", "FN", "IF", "TF"), "R")
                         .when(F.col("xtype").isin("V", "C", "F"), F.col("xtype")))
           .withColumn("_text_schema", F.when(F.col("_source_kind").isin("R", "V"),
                                              F.col("schema_key")).otherwise(""))
-          .join(_texts(b), [*DB, "_source_kind", "_text_schema", "object_key"], "left"))
+          .join(_text_keys(b), [*DB, "_source_kind", "_text_schema", "object_key"], "left"))
 
     rows = F.when(is_table, F.col("_rows"))
     return df.select(
@@ -466,38 +467,41 @@ def load_database_objects(b: dict[str, DataFrame], databases: DataFrame,
         F.when(has_columns, F.coalesce("_columns", F.lit(0))).otherwise(0).alias("col_count"),
         F.when(has_columns, F.col("_replicated")).alias("repl_columns"),
         F.when(has_columns, F.col("_created") > 0).alias("has_cr_dt"),
-        F.when(F.col("xtype") == "V", "READS").otherwise(F.col("_access")).alias("sql_data_access"),
-        F.col("_definition").alias("routine_definition"),
+        F.when(F.col("xtype") == "V", "READS").otherwise(F.col("_text.access")).alias("sql_data_access"),
+        F.col("_text.text_key").alias("text_key"),
         F.coalesce("_published", F.lit(False)).alias("is_mspublished"),
         F.when(has_columns, F.col("_rv") > 0).alias("is_rplpublished"),
         F.when(has_columns, F.col("_source") > 0).alias("is_rplsubscribed"),
-        F.col("_disabled").alias("is_disabled"), "parent_object_id",
+        F.col("_text.disabled").alias("is_disabled"), "parent_object_id",
         F.when(F.col("xtype") == "SO", F.col("start_value")).alias("start_value"),
         F.when(F.col("xtype") == "SO", F.col("current_value")).alias("current_value"),
         "parent_schema", "parent_table", "parent_column", F.col("create_date").alias("crdate"),
         "schema_key", "object_key")
 
 
-def _texts(b: dict[str, DataFrame]) -> DataFrame:
-    """Routine, view, check and foreign-key texts under one key; one row per key."""
+def _text_keys(b: dict[str, DataFrame]) -> DataFrame:
+    """Routine, view, check and foreign-key texts by name: one row per name.
+
+    Checks and foreign keys are known without their schema, so several may have one name: the one with the least
+    text key counts."""
     none = F.lit(None)
 
     def rows(df: DataFrame, kind: str, schema: Column, definition: str, access: Column,
              disabled: Column) -> DataFrame:
         return df.select(*DB, F.lit(kind).alias("_source_kind"), schema.alias("_text_schema"),
                          name_key(F.col("name")).alias("object_key"),
-                         F.col(definition).alias("_definition"),
-                         access.cast("string").alias("_access"),
-                         disabled.cast("boolean").alias("_disabled"))
+                         F.struct(text_key(F.col(definition)).alias("text_key"), access.cast("string").alias("access"),
+                                  disabled.cast("boolean").alias("disabled")).alias("_text"))
 
     schema = name_key(F.col("schema"))
-    return (
+    every = (
         rows(b["routines"], "R", schema, "definition", F.col("sql_data_access"), none)
         .unionByName(rows(b["views"], "V", schema, "definition", none, none))
         .unionByName(rows(b["check_constraints"], "C", F.lit(""), "definition", none,
                           F.col("is_disabled")))
         .unionByName(rows(b["foreign_keys"], "F", F.lit(""), "delete_referential_action_desc",
                           none, F.col("is_disabled"))))
+    return every.groupBy(*DB, "_source_kind", "_text_schema", "object_key").agg(F.min("_text").alias("_text"))
 
 
 def _sequence_parents(b: dict[str, DataFrame]) -> DataFrame:

@@ -163,11 +163,12 @@ SILVER = {
     "objects": _DB + (
         "object_id bigint, object_name string, schema_name string, xtype string, "
         "row_count bigint, row_length bigint, col_count bigint, repl_columns bigint, "
-        "has_cr_dt boolean, sql_data_access string, routine_definition string, "
+        "has_cr_dt boolean, sql_data_access string, text_key binary, "
         "is_mspublished boolean, is_rplpublished boolean, is_rplsubscribed boolean, "
         "is_disabled boolean, parent_object_id bigint, start_value bigint, current_value bigint, "
         "parent_schema string, parent_table string, parent_column string, crdate timestamp"
         + _KEYS),
+    "texts": "text_key binary, routine_definition string",
     "index_usage": _DB + (
         "object_id bigint, data_space string, allocation_desc string, table_schema string, "
         "object_type string, table_name string, index_type string, index_name string, "

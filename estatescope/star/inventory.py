@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from estatescope.functions.scalars import kind_code, name_key, whole_div
 from estatescope.sources import collectors as c
+from estatescope.sources.texts import text_key, text_store
 from estatescope.star.bronze import AS_OF, DB, Star, _pick
 
 COLUMN_TYPES = ["int", "varchar (20)", "varchar(max)", "nvarchar (max)", "text", "xml",
@@ -61,16 +62,20 @@ class StarInventory:
                           F.col("c_mktsegment").alias("schema_name"), F.lit("U").alias("xtype"),
                           "row_count", F.length("c_name").cast("long").alias("row_length"),
                           F.lit(None).cast("string").alias("sql_data_access"),
-                          F.lit(None).cast("string").alias("routine_definition")))
+                          F.lit(None).cast("binary").alias("text_key")))
         routines = self.star._documents.select(
             *DB, F.col("doc_id").alias("object_id"), F.col("name").alias("object_name"),
             F.col("lang").alias("schema_name"), kind_code(F.col("type")).alias("xtype"),
             F.lit(None).cast("long").alias("row_count"),
             F.lit(None).cast("long").alias("row_length"),
             F.lit("MODIFIES").alias("sql_data_access"),
-            F.col("definition").alias("routine_definition"))
+            text_key(F.col("definition")).alias("text_key"))
         return self._keyed(tables.unionByName(routines), "schema_name", "object_name")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return text_store((self.star._documents, "definition"))
+
     @cached_property
     def columns(self) -> DataFrame:
         line = (self.star._lines

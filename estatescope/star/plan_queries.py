@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from estatescope.plans import reports, rules, views
 from estatescope.plans.assessment import evaluate, gold_jobs, rule_jobs
+from estatescope.sources.texts import with_texts
 from estatescope.star.inventory import StarInventory
 from estatescope.star.registry import SQL, query
 
@@ -61,7 +62,8 @@ def view_database_files(spark: SparkSession, d: str) -> DataFrame:
            coalesce(pk_type, '') AS pk_type, writes, reads, pk_cols, {_ROLLUP_SQL}
     FROM x_objects_view""")
 def view_database_objects(spark: SparkSession, d: str) -> DataFrame:
-    return _text(views.database_objects_view(StarInventory(spark, d)).select(
+    s = StarInventory(spark, d)
+    return _text(with_texts(views.database_objects_view(s), s["texts"]).select(
         "server_name", "database_name", "schema_name", "object_name", "xtype", "row_count",
         "row_count_s", "row_length", "routine_definition", "columns_count", "has_identity",
         "computed_columns", "blob_columns", "pk", "pk_type", "writes", "reads", "pk_cols",
@@ -179,7 +181,8 @@ def _gold(spark: SparkSession, d: str, mode: str = "reference"):
 
 
 def _rules(spark: SparkSession, d: str, mode: str = "reference"):
-    return evaluate(rule_jobs(_gold(spark, d, mode)[1]))
+    s, g = _gold(spark, d, mode)
+    return evaluate(rule_jobs(g, s))
 
 
 _ROUTINE_SQL = "server_id, database_id, database_name, schema_name, object_name, xtype"
@@ -441,7 +444,7 @@ def report_indexes(spark: SparkSession, d: str) -> DataFrame:
     LEFT JOIN x_xdatabase x USING (database_id, schema_name, object_name)
     WHERE r.xtype <> 'U'""")
 def report_routines(spark: SparkSession, d: str) -> DataFrame:
-    return reports.routines_report(_gold(spark, d)[1])
+    return reports.routines_report(*reversed(_gold(spark, d)))
 
 
 @query("report_sequences", """
@@ -465,9 +468,9 @@ def report_linked_servers(spark: SparkSession, d: str) -> DataFrame:
     FROM x_routines WHERE definition ILIKE '%en%the%ion%' OR definition ILIKE '%que%de%la%'""")
 def rule_routines_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     """The same rule with patterns of the caller, which these texts do hold."""
-    _, g = _gold(spark, d)
-    found = rules.routine_findings(g["objects_view"], "%EN%the%ion%", "%que%de%la%")
-    return _routine(rules.incompatible_routines(found), "uses_for_xml", "uses_cursor",
+    s, g = _gold(spark, d)
+    found = rules.routine_findings(g["objects_view"], s["texts"], "%EN%the%ion%", "%que%de%la%")
+    return _routine(with_texts(rules.incompatible_routines(found), s["texts"]), "uses_for_xml", "uses_cursor",
                     "incompatible_type")
 
 

@@ -8,6 +8,7 @@ from estatescope.sources import collectors as c
 from estatescope.sources import sinks
 from estatescope.sources.schemas import SILVER
 from estatescope.sources.snapshot import conform, read_snapshot
+from estatescope.sources.texts import load_texts, with_texts
 from estatescope.star.bronze import AS_OF, Star
 from estatescope.star.registry import query, read
 from estatescope.workspace import work_folder
@@ -241,7 +242,7 @@ def load_database_files(spark: SparkSession, d: str) -> DataFrame:
     FROM x_doc""")
 def load_database_objects(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    return c.load_database_objects(star, _databases(star)).select(
+    return with_texts(c.load_database_objects(star, _databases(star)), load_texts(star)).select(
         "server_id", "database_id", "object_id", "object_name", "schema_name", "xtype",
         "row_count", "row_length", "col_count", "repl_columns", "sql_data_access",
         "routine_definition", "is_mspublished", "is_disabled", "start_value", "current_value",

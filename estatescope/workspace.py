@@ -34,10 +34,50 @@ def stored(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this run that nothing reads any more."""
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    target, files = _at(spark, path)
+    files.delete(target, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it is not there."""
+    target, files = _at(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(target)] if files.exists(target) else []
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder or file within one file system; the target must not be there."""
+    source, files = _at(spark, source)
+    if not files.rename(source, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"could not move {source.toString()} to {target}")
+
+
+def noted(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, all of it or nothing."""
+    target, files = _at(spark, f"{path}.new")
+    stream = files.create(target, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    moved(spark, f"{path}.new", path)
+
+
+def note(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    target, files = _at(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return spark._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A").next()
+    finally:
+        stream.close()
 
 
 @cache

@@ -10,6 +10,7 @@ from estatescope.plans.assessment import evaluate, gold_jobs, inventory_jobs, ru
 from estatescope.plans.reports import reports
 from estatescope.sources.schemas import SILVER
 from estatescope.sources.sinks import collect_all
+from estatescope.sources.texts import with_texts
 
 AS_OF = dt.datetime(2024, 1, 1, 0, 0, 2)
 
@@ -22,7 +23,7 @@ class Layers:
                                      f"{folder}/inventory")
         self.g, more = collect_all(spark, gold_jobs(self.s, mode), f"{folder}/gold")
         assert not failed.union(more).collect()
-        self.r = evaluate(rule_jobs(self.g)).all()
+        self.r = evaluate(rule_jobs(self.g, self.s)).all()
         self.out = reports(self.g, self.s, mode)
 
 
@@ -92,7 +93,7 @@ def test_objects(ref, meant):
                "repl_columns", "has_cr_dt", "is_rplpublished", "is_rplsubscribed") == (
         "U", 10, 4 * 9 + 16 * 2 - 4 + 20, 16, 1, True, True, False)
     assert one(meant.s["objects"].filter(table), "row_length") == (4 * 9 + 16 * 2 + 20,)
-    by_name = {r.object_name: r for r in ref.s["objects"].collect()}
+    by_name = {r.object_name: r for r in with_texts(ref.s["objects"], ref.s["texts"]).collect()}
     assert "syncobj_1" not in by_name and "trg" not in by_name
     assert by_name["fk"].routine_definition == "NO_ACTION" and by_name["fk"].is_disabled
     assert by_name["ck"].routine_definition == "(x > 1)" and not by_name["ck"].is_disabled
@@ -220,7 +221,7 @@ def test_routine_rules(spark, ref):
     from estatescope.plans.rules import incompatible_routine_types, routine_findings
     extra = ref.g["objects_view"].filter(F.col("object_name") == "xml_user").withColumn(
         "xtype", F.lit("TR"))
-    assert one(incompatible_routine_types(routine_findings(extra)), "type_desc") == (
+    assert one(incompatible_routine_types(routine_findings(extra, ref.s["texts"])), "type_desc") == (
         "SQL DML Trigger",)
 
 

@@ -191,3 +191,63 @@ def test_shares_add_up_per_group(spark):
     got = share_of_total(df, ["g"], share=(F.col("v"), F.col("v")))
     for total, in got.groupBy("g").agg(F.sum("share")).select("sum(share)").collect():
         assert total == pytest.approx(100)
+
+
+def test_a_stretch_is_at_most_eight_rows_however_many_lengths_the_terms_have(spark):
+    from estatescope.operators import matching
+    texts = spark.createDataFrame([(1, f"select {'x' * 300}tail. and [{'y' * 40}]. end")], "k int, _text string")
+    rows = matching._with_keys(texts, ["k"], ".", ["", "]"])
+    assert rows.count() == 8 * 3  # two stretches before a dot, one of them also before "]."
+    assert rows.agg(F.max(F.length("_stem"))).first()[0] == matching.REACH
+    assert rows.filter("_stem IS NOT NULL").count() == 3
+    terms = spark.createDataFrame([("x" * n,) for n in range(1, 120)], "t string")
+    got = matching.all_matches(texts.withColumnRenamed("_text", "d"), terms, ["k"], "d", "t")
+    assert got.count() == 0
+    terms = spark.createDataFrame([("x" * n + "tail",) for n in range(0, 300, 7)] + [("x" * 301 + "tail",), ("il",)], "t string")
+    assert matching.all_matches(texts.withColumnRenamed("_text", "d"), terms, ["k"], "d", "t").count() == 44
+
+
+def test_names_with_marks_long_names_and_names_of_other_servers(spark):
+    from estatescope.operators.matching import all_matches, first_match
+    long = "n" * 150
+    texts = spark.createDataFrame(
+        [(1, "a", f"exec [host.domain].db.dbo.p; use {long}.t"), (2, "a", "x..y"), (1, "b", "HOST.DOMAIN. sales."),
+         (2, "b", f"{long}n.t domain."), (1, "c", None)], "s int, k string, d string")
+    terms = spark.createDataFrame(
+        [(1, "host.domain"), (1, "Domain"), (1, long), (1, "db"), (2, "x."), (2, long), (2, "sales"), (1, ""), (2, None)],
+        "s int, t string")
+    got = {tuple(r) for r in all_matches(texts, terms, ["s", "k"], "d", "t", scope=["s"]).collect()}
+    assert got == {(1, "a", "host.domain"), (1, "a", "Domain"), (1, "a", "db"), (1, "a", long), (2, "a", "x."),
+                   (1, "b", "host.domain"), (1, "b", "Domain"), (2, "b", long)}
+    first = {tuple(r) for r in first_match(texts, terms, ["s", "k"], "d", "t", scope=["s"]).collect()}
+    assert first == {(1, "a", "Domain"), (2, "a", "x."), (1, "b", "Domain"), (2, "b", long)}
+
+
+def test_matches_before_suffixes_equal_brute_force(spark):
+    from estatescope.operators.matching import all_matches
+    rng = random.Random(8)
+    word = lambda a, n: "".join(rng.choices(a, k=n))
+    texts = [(i, word("ab.]B ", rng.randint(0, 60))) for i in range(300)]
+    terms = sorted({word("ab.]", rng.randint(1, 14)) for _ in range(150)})
+    got = {tuple(r) for r in all_matches(
+        spark.createDataFrame(texts, "k int, d string"), spark.createDataFrame([(t,) for t in terms], "t string"),
+        ["k"], "d", "t").collect()}
+    assert got == {(k, t) for k, d in texts for t in terms if f"{t}." in d.lower() or f"{t}]." in d.lower()}
+
+
+def test_order_then_attach_keeps_the_order_and_sorts_no_text(spark):
+    from estatescope.operators.ordering import order_then_attach
+    from estatescope.sources.texts import text_key, text_store, with_texts
+    rows = spark.range(5000).select(
+        (F.xxhash64("id") % 700).alias("a"), F.col("id").alias("b"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), (F.col("id") % 50).cast("string"))).alias("t"))
+    store = text_store((rows, "t"))
+    assert store.count() == 50 - 0 and store.filter("text_key IS NULL").isEmpty()
+    slim = rows.select("a", "b", text_key(F.col("t")).alias("text_key"))
+    out = order_then_attach(slim.repartition(5), ["a", F.desc("b")], lambda df: with_texts(df, store))
+    got = [tuple(r) for r in out.collect()]
+    want = sorted(((r.a, r.b, r.t) for r in rows.collect()), key=lambda x: (x[0], -x[1]))
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    ranged = [x for x in plan.splitlines() if "rangepartitioning" in x]
+    assert ranged and not any("routine_definition" in x for x in ranged)
