@@ -14,7 +14,6 @@ any name.  ``ids`` is binary: little-endian unsigned 32-bit numbers (``token_ids
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 import re
@@ -22,6 +21,7 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published pattern of byte-level words; L, N and S stand for letters, numbers and others.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{S}+|\s+(?!\S)|\s+"
 #: Characters that are encoded at a time, words that are remembered, and the longest of these.
-STRETCH, REMEMBERED, SHORT = 1 << 18, 1 << 17, 64
+STRETCH, REMEMBERED, SHORT = 1 << 18, 1 << 18, 64
 _CUT = regex.compile(r"(?<=\S)\s")
 
 
@@ -58,21 +58,34 @@ def newer_characters() -> str:
     return "".join(c for i, c in enumerate(new) if 3 * i + 1 not in ends)
 
 
-def word_patterns(newer: str) -> tuple[Callable, Callable, Callable]:
-    """Words of a text without newer characters, of a text with them, and the search that tells which it is."""
-    plain = PATTERN.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").replace("{S}", r"[^\s\p{L}\p{N}]")
+def word_patterns(newer: str) -> Callable[[str], list[str]]:
+    """The words of a text: the pattern in its ASCII form, with all characters, and without the newer ones among
+    letters and numbers, each where the text needs no more."""
+    def pattern(letters: str, numbers: str, others: str, space: str = r"\s", solid: str = r"\S") -> str:
+        return PATTERN.replace(r"\s", space).replace(r"\S", solid).replace("{L}", letters).replace(
+            "{N}", numbers).replace("{S}", others)
+
+    ascii_only = re.compile(pattern("[A-Za-z]", "[0-9]", r"[^A-Za-z0-9 \t-\r]", r"[ \t-\r]", r"[^ \t-\r]")).findall
+    plain = regex.compile(pattern(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")).findall
     if not newer:
-        return regex.compile(plain).findall, regex.compile(plain).findall, lambda text: None
-    ranges, codes = [], [ord(c) for c in newer]
-    for code in codes:
+        return lambda text: ascii_only(text) if text.isascii() else plain(text)
+    ranges: list[list[int]] = []
+    for code in map(ord, newer):
         if ranges and ranges[-1][1] == code - 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
     new = "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in ranges)
-    careful = PATTERN.replace("{L}", rf"[\p{{L}}--[{new}]]").replace("{N}", rf"[\p{{N}}--[{new}]]").replace(
-        "{S}", rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])")
-    return regex.compile(plain).findall, regex.compile(careful, regex.V1).findall, re.compile(f"[{new}]").search
+    careful = regex.compile(pattern(rf"[\p{{L}}--[{new}]]", rf"[\p{{N}}--[{new}]]",
+                                    rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])"), regex.V1).findall
+    beyond, is_new = re.compile(f"[^\0-{chr(ranges[0][0] - 1)}]").search, re.compile(f"[{new}]").search
+
+    def words(text: str) -> list[str]:
+        if text.isascii():
+            return ascii_only(text)
+        return careful(text) if beyond(text) and is_new(text) else plain(text)
+
+    return words
 
 
 class Vocabulary:
@@ -93,36 +106,40 @@ class Vocabulary:
         self.strings = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
                         for t, i in [*known.items(), *((t["content"], t["id"]) for t in added)]}
         self.first = [known[c] for c, _ in sorted(of.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((known[a], known[b]), (rank, known[a + b]))
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.results = [known[a + b] for a, b in pairs]
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks.setdefault((known[a], known[b]), rank)
         self.added = {t["content"]: t["id"] for t in added if t["content"]}
 
 
-def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The symbols of one word after all merges."""
-    n = len(symbols)
+def merged(symbols: list[int], ranks: dict[tuple[int, int], int], results: list[int]) -> list[int]:
+    """The symbols of one word after all merges.  An entry of the queue is the rank, and in its low bits the place."""
+    n, known = len(symbols), ranks.get
+    bits = 14 if n < 1 << 14 else 40
+    queue = [r << bits | i for i, r in enumerate(map(known, zip(symbols, symbols[1:], strict=False))) if r is not None]
+    heapify(queue)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    queue = [(found[0], i) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
-    heapq.heapify(queue)
     while queue:
-        rank, i = heapq.heappop(queue)
-        j = after[i]
-        if symbols[i] < 0 or j >= n:
+        entry = heappop(queue)
+        i = entry & (1 << bits) - 1
+        a, j = symbols[i], after[i]
+        if a < 0 or j >= n:
             continue
-        found = merges.get((symbols[i], symbols[j]))
-        if found is None or found[0] != rank:
+        rank = known((a, symbols[j]))
+        if rank is None or rank != entry >> bits:
             continue  # stale: one of the two has been merged since
-        symbols[i], symbols[j] = found[1], -1
+        a = symbols[i] = results[rank]
+        symbols[j] = -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if found := merges.get((symbols[i], symbols[k])):
-                heapq.heappush(queue, (found[0], i))
+            if (rank := known((a, symbols[k]))) is not None:
+                heappush(queue, rank << bits | i)
         h = before[i]
-        if h >= 0 and (found := merges.get((symbols[h], symbols[i]))):
-            heapq.heappush(queue, (found[0], h))
+        if h >= 0 and (rank := known((symbols[h], a))) is not None:
+            heappush(queue, rank << bits | h)
     return [s for s in symbols if s >= 0]
 
 
@@ -133,7 +150,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary, newer: str):
         self.vocabulary, self.older = vocabulary, {}
-        self.words, self.careful, self.has_newer = word_patterns(newer)
+        self.words = word_patterns(newer)
         marks = sorted(vocabulary.added, key=lambda t: (-len(t), t))
         self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
 
@@ -141,7 +158,7 @@ class Encoder(dict):
         v = self.vocabulary
         found = self.older.get(word)
         if found is None:
-            ids = merged([v.first[b] for b in word.encode()], v.merges)
+            ids = merged([v.first[b] for b in word.encode()], v.ranks, v.results)
             found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= SHORT:
             self[word] = found
@@ -158,8 +175,7 @@ class Encoder(dict):
 
     def _plain(self, text: str, start: int, end: int) -> Iterator[bytes]:
         for stretch in self._stretches(text, start, end):
-            split = self.careful if not stretch.isascii() and self.has_newer(stretch) else self.words
-            yield b"".join(map(self.__getitem__, split(stretch)))
+            yield b"".join(map(self.__getitem__, self.words(stretch)))
             if len(self) > REMEMBERED:
                 self.older = dict(self)
                 self.clear()

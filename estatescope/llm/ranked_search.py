@@ -336,7 +336,7 @@ class Walk:
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]
             self.levels.append(np.maximum.reduceat(below, np.arange(0, len(below), FANOUT), axis=0))
-        self.pairs = self.batches = 0
+        self.pairs = self.scored = 0
 
     def run(self) -> None:
         top = len(self.tree.levels) - 1
@@ -367,7 +367,7 @@ class Walk:
                 self._visit(level, nodes, height - 1, child)
 
     def _score(self, items: np.ndarray, leaf: int) -> None:
-        self.batches += 1
+        self.scored += len(items)
         term, value, size = (self.batch.column(c)[leaf].values.to_numpy() for c in ("terms", "impacts", "sizes"))
         known, place = np.unique(term, return_inverse=True)
         values = np.zeros((len(known), len(size)), np.int64)

@@ -183,6 +183,8 @@ def _assigned(vectors: DataFrame, sent, first: bool) -> DataFrame:
 def _moved(assigned: DataFrame, books: Books) -> Books:
     """Entries as the floored means of their parts; unused ones stay."""
     positions, entries, width = books.entries.shape
+    if not width:
+        return books
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((positions * entries, width), np.int64)
