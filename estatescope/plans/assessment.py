@@ -14,17 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from estatescope.plans import rules, views
 from estatescope.plans.reports import report_jobs
+from estatescope.plans.resume import PER_DATABASE, changes, fingerprints, merge, only
 from estatescope.sources import collectors as c
 from estatescope.sources.sinks import ERRORS, add_missing, append, collect_all, failure, refresh, replace
 from estatescope.sources.snapshot import land
 from estatescope.sources.texts import KEY, TEXT, load_texts, with_texts
+from estatescope.workspace import stored, work_folder
 
 Tables = dict[str, DataFrame]
 Jobs = dict[str, Callable[[Tables], DataFrame]]
 
 
-def inventory_jobs(b: Tables, as_of: Column | None = None, mode: str = "reference") -> Jobs:
-    """Jobs of the silver tables, from the snapshot tables ``b``."""
+def inventory_jobs(b: Tables, as_of: Column | None = None, mode: str = "reference",
+                   done: DataFrame | None = None) -> Jobs:
+    """Jobs of the silver tables, from the snapshot tables ``b``; of databases in ``done`` no columns are loaded."""
     as_of = F.current_timestamp() if as_of is None else as_of
 
     def known(s: Tables) -> Tables:
@@ -57,7 +60,7 @@ def inventory_jobs(b: Tables, as_of: Column | None = None, mode: str = "referenc
             b["database_files"], b["data_spaces"], named(s)),
         "texts": lambda s: load_texts(b),
         "objects": lambda s: c.load_database_objects(known(s), named(s), mode),
-        "columns": lambda s: c.load_columns(b, named(s), s["objects"], mode=mode),
+        "columns": lambda s: c.load_columns(b, named(s), s["objects"], done, mode),
         "index_usage": lambda s: c.load_index_usage(b, named(s), s["objects"], mode),
         "sequences": lambda s: c.load_sequences(s["objects"], b["sequence_parent_values"]),
     }
@@ -108,32 +111,35 @@ def rule_jobs(g: Tables, s: Tables) -> Jobs:
 class _Evaluated(dict):
     """Tables of a layer, each built when first asked for."""
 
-    def __init__(self, jobs: Jobs):
+    def __init__(self, jobs: Jobs, kept: dict[str, str]):
         super().__init__()
-        self._jobs = jobs
+        self._jobs, self._kept = jobs, kept
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = self._jobs[name](self)
+        df = self._jobs[name](self)
+        self[name] = stored(df, self._kept[name]) if name in self._kept else df
         return self[name]
 
     def all(self) -> Tables:
         return {name: self[name] for name in self._jobs}
 
 
-def evaluate(jobs: Jobs) -> _Evaluated:
-    """The tables of a layer as unevaluated DataFrames."""
-    return _Evaluated(jobs)
+def evaluate(jobs: Jobs, kept: dict[str, str] | None = None) -> _Evaluated:
+    """The tables of a layer as unevaluated DataFrames; those named in ``kept`` are written to the folder given there
+    when they are first asked for, so that what several others read is computed once."""
+    return _Evaluated(jobs, kept or {})
 
 
 def run_assessment(spark: SparkSession, snapshot: str, out: str, fmt: str = "parquet",
                    as_of: Column | None = None, mode: str = "reference",
-                   server_ids: Sequence[int] | None = None) -> tuple[Tables, DataFrame]:
+                   server_ids: Sequence[int] | None = None, resume: bool = False) -> tuple[Tables, DataFrame]:
     """Load a snapshot, store every layer below ``out``, return the reports and the errors.
 
     A table is written before the next one reads it.  That cuts the lineage with files that
     outlive an executor, and evaluates shared views once instead of once per report.  Tables are
     partitioned by server; with ``server_ids`` only those servers' rows are loaded and replaced, and
-    the reports cover all.  A table that fails is logged and left out, and so is, with that
+    the reports cover all.  With ``resume`` databases that are as they were in the last run that ended well are not
+    loaded again (``resume.py``): the tables are those of a full load.  A table that fails is logged and left out, and so is, with that
     cause, whatever needs it; all other reports are written, too, and returned in their order.  Rows of CSV and JSON
     that do not fit go to ``<out>/rejected`` and into the log, not into the tables.
     """
@@ -147,7 +153,21 @@ def run_assessment(spark: SparkSession, snapshot: str, out: str, fmt: str = "par
 
     missing: list[str] = []
     b, rejected = land(spark, snapshot, fmt, out, missing)
-    s, errors = collect_all(spark, inventory_jobs(b, as_of, mode), f"{out}/inventory", write)
+    jobs, inventory = inventory_jobs(b, as_of, mode), f"{out}/inventory"
+    if not resume:
+        s, errors = collect_all(spark, jobs, inventory, write)
+    else:
+        first = {name: job for name, job in jobs.items() if name not in PER_DATABASE}
+        s, errors = collect_all(spark, first, inventory, write)
+        if "databases" in s and "servers" in s:
+            at = f"{out}/loaded"
+            now = stored(fingerprints(b, s, mode), f"{work_folder(spark, 'fingerprints')}/now")
+            found = changes(spark, now, at)
+            few = inventory_jobs(only(b, found.changed), as_of, mode, found.same)
+            s, more = collect_all(spark, {n: few[n] for n in few if n in PER_DATABASE}, inventory, merge(found), s)
+            errors = errors.unionByName(more)
+            if errors.isEmpty() and found.servers:
+                refresh(found.now, at)
     g, more = collect_all(spark, gold_jobs(s, mode), f"{out}/gold", write)
     _, rest = collect_all(spark, rule_jobs(g, s), f"{out}/rules", write)
     made, now = {}, datetime.now()

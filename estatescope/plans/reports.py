@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from estatescope.functions import fixed_values as fv
 from estatescope.functions.scalars import like_ci, name_key
-from estatescope.operators.aggregates import distinct_names
-from estatescope.operators.joins import rollup_left
+from estatescope.operators.aggregates import flag
+from estatescope.operators.joins import left_lookup, rollup_union
 from estatescope.operators.ordering import order_then_attach
 from estatescope.plans.views import not_system
 from estatescope.sources.texts import with_texts
@@ -93,29 +93,43 @@ def _named_by(hits: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.when(called, F.col("_n"))).alias("_xo"), listed(called).alias("_xo_list"))
 
 
+def _references(hits: DataFrame, databases: DataFrame) -> DataFrame:
+    """Per database: what its routines refer to, and which databases refer to it, as counts and lists of names.
+
+    A reference is a row of the database that has it and, once its name is looked up, one of the database that it
+    names, so both directions are counted per name and then listed by the same two aggregates.
+    """
+    server, database = F.col("refers_to") == "server", F.col("refers_to") == "database"
+    named = databases.groupBy("server_id", name_key(F.col("database_name")).alias("_name")).agg(
+        F.collect_list("database_id").alias("_targets"))
+    known = left_lookup(hits.withColumn("_name", F.when(database, name_key(F.col("name")))), named,
+                        ["server_id", "_name"], database, ["database_id", "object_key"])
+    kind = F.when(server, "xs").when(database & (F.col("_name") != "tempdb"), "xo")
+    out = F.array(F.struct("database_id", kind.alias("_kind"), F.col("name").alias("_ref")))
+    into = F.transform("_targets", lambda t: F.struct(
+        t.alias("database_id"), F.lit("xi").alias("_kind"), F.col("database_name").alias("_ref")))
+    rows = known.select("server_id", F.inline(F.concat(out, F.coalesce(into, F.array().cast(
+        "array<struct<database_id:int,_kind:string,_ref:string>>"))))).filter("_kind IS NOT NULL")
+    per_name = rows.groupBy(*DB, "_kind", "_ref").agg(F.count(F.lit(1)).alias("_n"))
+
+    def both(kind: str) -> list[Column]:
+        mine = F.col("_kind") == kind
+        return [F.sum(F.when(mine, F.col("_n"))).alias(f"_{kind}"),
+                F.array_join(F.sort_array(F.collect_list(F.when(mine, F.col("_ref")))), ",").alias(f"_{kind}_list")]
+
+    return per_name.groupBy(*DB).agg(*both("xs"), *both("xo"), *both("xi"))
+
+
 def databases_report(g: Tables, s: Tables) -> DataFrame:
     """One row per user database: sizes, classes, objects, findings and references."""
-    df = g["databases_view"].filter(not_system())
-    df = rollup_left(
-        df, g["column_findings"], DB,
-        _incompatible=F.sum("incompatible_column"), _computed=F.sum("computed_column"),
-        _large=F.sum("large_text_column"), _defaults=F.sum("invalid_default"))
-    found = ((F.col("incompatible_type") == 1) & F.col("text_key").isNotNull())
-    df = rollup_left(
-        df, g["routine_findings"], DB,
-        _xml=F.sum("uses_for_xml"), _cursor=F.sum("uses_cursor"),
-        _kinds=F.sum(F.when(found, 1).otherwise(0)))
-    df = rollup_left(df, s["sequences"], DB, _sequences=F.count(F.lit(1)))
-
-    hits = g["reference_hits"]
-    incoming = distinct_names(
-        hits.withColumn("_name", F.when(F.col("refers_to") == "database",
-                                        name_key(F.col("name"))))
-        .filter(F.col("_name").isNotNull()),
-        ["server_id", "_name"], "database_name", "_xi", "_xi_list")
-    df = (df.join(_named_by(hits, DB), DB, "left")
-          .withColumn("_name", name_key(F.col("database_name")))
-          .join(incoming, ["server_id", "_name"], "left"))
+    found = (F.col("incompatible_type") == 1) & F.col("text_key").isNotNull()
+    df = rollup_union(
+        g["databases_view"].filter(not_system()), DB,
+        (g["column_findings"], {"_incompatible": F.col("incompatible_column"), "_computed": F.col("computed_column"),
+                                "_large": F.col("large_text_column"), "_defaults": F.col("invalid_default")}),
+        (g["routine_findings"], {"_xml": F.col("uses_for_xml"), "_cursor": F.col("uses_cursor"), "_kinds": flag(found)}),
+        (s["sequences"], {"_sequences": F.lit(1)}))
+    df = df.join(_references(g["reference_hits"], s["databases"]), DB, "left")
 
     return df.orderBy("database_name", *DB).select(*_headed(
         DatabaseName="database_name", DataMB=_zero("data_mb"), Files=_zero("files"),

@@ -111,14 +111,14 @@ class StoredTables(dict):
 
 def collect_all(spark: SparkSession, jobs: dict[str, Callable[[dict[str, DataFrame]], DataFrame]],
                 root: str, write: Callable[[DataFrame, str], None] = replace,
-                ) -> tuple[dict[str, DataFrame], DataFrame]:
+                made: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Run and store each job in order; a failing one is logged and the rest go on.
 
-    A job is given the tables stored so far and reads those, so nothing is computed
-    twice.  Returns the stored tables and the error rows of this run, which are also
+    A job is given the tables stored so far (and those ``made`` before) and reads those, so nothing is
+    computed twice.  Returns the stored tables and the error rows of this run, which are also
     appended to ``<root>/exec_errors``.
     """
-    tables = StoredTables()
+    tables = StoredTables(made or {})
     failures, now = [], datetime.now()
     for name, job in jobs.items():
         try:

@@ -9,6 +9,7 @@ from estatescope.plans.assessment import evaluate, gold_jobs, rule_jobs
 from estatescope.sources.texts import with_texts
 from estatescope.star.inventory import StarInventory
 from estatescope.star.registry import SQL, query
+from estatescope.workspace import work_folder
 
 _ROLLUP = ["indexes", "index_data_size", "index_used_size", "unique_indexes",
            "included_column_indexes", "filtered_indexes", "column_stores"]
@@ -175,9 +176,10 @@ def view_servers(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------ rules
 
 
-def _gold(spark: SparkSession, d: str, mode: str = "reference"):
+def _gold(spark: SparkSession, d: str, mode: str = "reference", kept: tuple[str, ...] = ()):
     s = StarInventory(spark, d)
-    return s, evaluate(gold_jobs(s, mode))
+    folder = work_folder(spark, "gold") if kept else ""
+    return s, evaluate(gold_jobs(s, mode), {name: f"{folder}/{name}" for name in kept})
 
 
 def _rules(spark: SparkSession, d: str, mode: str = "reference"):
@@ -375,7 +377,7 @@ def report_top_sql(spark: SparkSession, d: str) -> DataFrame:
     LEFT JOIN (SELECT database_id, count(*) AS n FROM x_sequences GROUP BY ALL) q
       USING (database_id)""")
 def report_databases(spark: SparkSession, d: str) -> DataFrame:
-    s, g = _gold(spark, d)
+    s, g = _gold(spark, d, kept=("reference_hits",))
     return reports.databases_report(g, s)
 
 
@@ -482,7 +484,7 @@ _BUNDLE = ["instance", "jobs", "wait_stats", "top_sql", "databases", "tables", "
     f"SELECT '{n}' AS report, count(*) AS rows FROM ({SQL[f'report_{n}']})" for n in _BUNDLE))
 def report_bundle(spark: SparkSession, d: str) -> DataFrame:
     """Row counts of the whole bundle; the reports' content is compared one by one."""
-    s, g = _gold(spark, d)
+    s, g = _gold(spark, d, kept=("reference_hits", "routine_findings", "objects_view"))
     bundle = reports.reports(g, s)
     counts = [bundle[n].agg(F.lit(n).alias("report"), F.count("*").alias("rows"))
               for n in _BUNDLE]

@@ -55,3 +55,29 @@ def test_no_python_in_any_plan(spark):
     for name in CHECKED:
         text = plan(all_queries()[name](spark, SF))
         assert "Python" not in text and "Pandas" not in text, name
+
+
+def shuffles(df):
+    return [x for x in plan(df).splitlines() if "Exchange " in x and "BroadcastExchange" not in x]
+
+
+def test_the_database_report_moves_each_input_once(spark):
+    assert len(shuffles(all_queries()["report_databases"](spark, SF))) <= 20
+
+
+def test_texts_do_not_move_before_they_are_attached(spark):
+    """Objects, findings and references are made of keys; only the store of texts itself is shuffled by key."""
+    from estatescope.plans.assessment import evaluate, gold_jobs
+    from estatescope.star.inventory import StarInventory
+    from estatescope.workspace import stored, work_folder
+    s = StarInventory(spark, SF)
+    s.texts = stored(s.texts, f"{work_folder(spark, 'texts')}/store")
+    g = evaluate(gold_jobs(s))
+    for name in ("objects_view", "routine_findings", "columns_view"):
+        text = plan(g[name])
+        assert "Exchange" in text
+        moved = [x for x in text.splitlines() if "Exchange " in x and "routine_definition" in x]
+        assert not moved, name
+    # Below an exchange of the search stand pieces of texts; a whole one only where a name has to be looked up in it.
+    for line in shuffles(g["reference_hits"]):
+        assert "routine_definition" not in line

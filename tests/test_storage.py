@@ -262,3 +262,53 @@ def test_assessment_refreshes_one_server(spark, snapshot_path, plain_run):
     assert reports["databases"].count() == 6
     for view in ("database_files_view", "availability_groups_view", "cluster_nodes_view", "jobs_view", "volumes_view"):
         assert spark.read.parquet(f"{out}/gold/{view}").columns
+
+
+def test_resumed_run_loads_only_changed_databases(spark, snapshot_path, tmp_path, monkeypatch):
+    """A first resumed run loads all; after a change of one database the tables are those of a full load."""
+    from estatescope.plans import resume
+    from estatescope.plans.assessment import inventory_jobs
+    from estatescope.sources.snapshot import read_all as read_snapshots
+    out = str(tmp_path / "out")
+
+    def load(b):
+        """The inventory part of a resumed run; the databases that it loaded."""
+        jobs = inventory_jobs(b, F.lit(AS_OF).cast("timestamp"))
+        s, errors = sinks.collect_all(spark, {n: jobs[n] for n in ("servers", "databases")}, f"{out}/inventory")
+        now = resume.fingerprints(b, s, "reference").cache()
+        found = resume.changes(spark, now, f"{out}/loaded")
+        few = inventory_jobs(resume.only(b, found.changed), F.lit(AS_OF).cast("timestamp"), done=found.same)
+        s, more = sinks.collect_all(spark, {n: few[n] for n in resume.PER_DATABASE}, f"{out}/inventory",
+                                    resume.merge(found), s)
+        assert errors.isEmpty() and more.isEmpty()
+        loaded = {tuple(r) for r in found.changed.collect()}
+        if found.servers:
+            sinks.refresh(found.now, f"{out}/loaded")
+        return s, loaded
+
+    def full(b):
+        from estatescope.plans.assessment import evaluate
+        return evaluate(inventory_jobs(b, F.lit(AS_OF).cast("timestamp")))
+
+    def same(s, b):
+        want = full(b)
+        for name in resume.PER_DATABASE:
+            columns = want[name].columns
+            assert sorted(map(repr, s[name].select(*columns).collect())) == \
+                sorted(map(repr, want[name].collect())), name
+
+    b = read_snapshots(spark, snapshot_path)
+    s, loaded = load(b)
+    every = {(r.server_id, r.database_id) for r in s["databases"].collect()}
+    assert loaded == every
+    _, loaded = load(b)
+    assert loaded == set()
+    key = next(iter(sorted({(r.server_id, r.database_id) for r in s["columns"].collect()})))
+    here = (F.col("server_id") == key[0]) & (F.col("database_id") == key[1])
+    changed = b | {"columns": b["columns"].withColumn("name", F.when(here, F.concat("name", F.lit("_x"))).otherwise(F.col("name")))}
+    s, loaded = load(changed)
+    assert loaded == {key}
+    same(s, changed)
+    gone = changed | {"databases": changed["databases"].filter(~here)}
+    s, loaded = load(gone)
+    assert loaded == set() and not s["objects"].filter(here).count() and s["objects"].count()
