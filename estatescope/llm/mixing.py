@@ -6,7 +6,7 @@ first blocks of a fixed permutation, the last of them cut, so that the words tak
 rounded.  The drawn blocks of all sources are dealt to output shards by a tree: at each node the counts per source
 are split between the two halves of the shards by a multivariate hypergeometric draw (the split a
 random deal would give), down to exact quotas per shard and source.  Each shard then takes the next
-blocks of each source's permutation, disjoint by construction, and is shuffled by itself.
+blocks of each source's permutation, as many as its quota says, disjoint by construction, and is shuffled by itself.
 
 Only one row per source (its size) reaches the driver, which computes targets and quotas; blocks and
 documents stay distributed.  Where a document lies in its source's stream is a running sum in two
@@ -183,31 +183,38 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .withColumn("rank", F.when(F.col("blocks") <= 1, F.lit(0)).otherwise(F.col("rank")))
     parts = parts.withColumn("low", F.greatest("at", begin)) \
         .withColumn("high", F.least(F.col("at") + F.col("size"), begin + block))
+    # A block is drawn if the quota of some shard reaches its number among the blocks of all passes.
     taken = parts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass")) \
-        .where("pass < passes OR rank < drawn")
+        .withColumn("number", F.col("pass") * F.col("blocks") + F.col("rank")) \
+        .withColumn("shard", F.size(F.filter("upto", lambda x: x <= F.col("number")))).where(F.col("shard") < shards)
     cut = (F.col("pass") == F.col("passes")) & (F.col("rank") == F.col("drawn") - 1)
     taken = taken.withColumn("high", F.when(cut, F.least("high", begin + F.col("cut"))).otherwise(F.col("high"))) \
         .where("low < high")
-    number = F.col("pass") * F.col("blocks") + F.col("rank")  # of the block among all drawn ones
     segments = taken.select(
         "row", "doc_id", "pass", (F.col("low") - F.col("at")).alias("start"), (F.col("high") - F.col("at")).alias("end"),
-        F.size(F.filter("upto", lambda x: x <= number)).alias("shard"),
-        F.xxhash64("source", number, F.lit(seed)).alias("place"))
+        "shard", F.xxhash64("source", "number", F.lit(seed)).alias("place"))
     return placed.select("doc_id", "tie", "source", "at", "size", "source_size", "target", "row"), segments
 
 
 def taken_words(documents: DataFrame, segments: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): words of each document in the mix, repeats counted."""
-    words = segments.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
+    """(doc_id, size, source_size, target, taken, shards): words of each document in the mix, repeats counted, and
+    shard:words of every shard that has some, comma-joined."""
+    words = segments.groupBy("row", "shard").agg(F.sum(F.col("end") - F.col("start")).alias("words")).groupBy("row").agg(
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("parts"))
+    listed = F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
     return documents.join(words, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(listed, F.lit("")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                     **options) -> DataFrame:
     """The mix as rows of ``docs``: a document once for each pass that takes it, and for the last pass the
-    stretch of its text that is taken (all of it, unchanged, where all its words are)."""
+    stretch of its text that is taken (all of it, unchanged, where all its words are).
+
+    One partition a shard, shuffled by the places of the blocks; a document is where its first words are."""
     documents, segments = mix(docs, doc_id, text, source, **options)
+    shards = options.get("shards", SHARDS)
     # Documents that are equal in id, text and source are told apart by counting them on both sides.
     def counted(key: list[Column], order: str | Column) -> Column:
         return F.row_number().over(Window.partitionBy(*key).orderBy(order))
@@ -217,16 +224,19 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                                 counted(key, "at").alias("number"))
     spans = segments.groupBy("row", "pass").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"),
-        F.sum(F.col("end") - F.col("start")).alias("_words"))
+        F.sum(F.col("end") - F.col("start")).alias("_words"),
+        F.min(F.struct("start", "shard", "place")).alias("_first"))
     spans = spans.join(numbered, "row").select(
         F.col("tie").alias("_tie"), F.col("of").alias("_of"), F.col("number").alias("_number"),
-        "_spans", (F.col("_words") == F.col("size")).alias("_whole"))
+        "_spans", (F.col("_words") == F.col("size")).alias("_whole"),
+        F.col("_first.shard").alias("_shard"), F.col("_first.place").alias("_place"))
     own = packed(docs, _tie=tie_of(F.col(doc_id), F.col(text)), _of=F.xxhash64(F.col(source).cast("string")),
                  _text=F.col(text).cast("string"))
     own = own.withColumn("_number", counted([F.col("_tie"), F.col("_of")], F.col("_tie")))
     taken = own.join(spans, ["_tie", "_of", "_number"])
     cut = F.when(F.col("_whole"), F.col("_text")).otherwise(_stretches(F.col("_text"), F.col("_spans")))
-    return taken.select(F.col("row").withField(f"`{text}`", cut).alias("row")).select("row.*")
+    dealt = taken.select(F.col("row").withField(f"`{text}`", cut).alias("row"), "_shard", "_place")
+    return dealt.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_place").select("row.*")
 
 
 def _stretches(text: Column, spans: Column) -> Column:
