@@ -1,7 +1,7 @@
 """Substring deduplication (4): windows of words behind a count-min prefilter.
 
 The merged sketches of all partitions overestimate how often a window occurs; only windows that may
-be repeated are grouped exactly (by the 64-bit hashes of their anchor and of all their words).  Every
+be repeated are grouped exactly: by their anchor and by 64-bit hashes over the XXH64 hashes of all their words.  Every
 word under a window that also starts elsewhere is removed; windows are judged on the input.
 
 Null, empty and blank texts have no words and texts shorter than a window keep all.  Repeated rows are
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from estatescope.llm import windows
 from estatescope.llm.registry import query, read
-from estatescope.llm.texts import Prefix, flat, lowest, merged_spans, mixed, word_spans
+from estatescope.llm.texts import Prefix, flat, lowest, merged_spans, mixed, word_hashes, word_spans
 
 #: Words of a window, and of the stretches among which its anchor is chosen.
 LENGTH, GRAM = 35, 8
@@ -35,8 +35,9 @@ class Words:
 
     def runs(self, piece: pa.RecordBatch) -> windows.Runs:
         data, at = flat(piece.column("text"))
-        starts, ends, counts = word_spans(data, at)
-        joined = Prefix(mixed(Prefix(data).of(starts, ends)))
+        _, _, counts = word_spans(data, at)
+        words = [w for t in piece.column("text").to_pylist() if t for w in t.encode().split()]
+        joined = Prefix(mixed(word_hashes(words)))
         grams = mixed(joined.grams(self.gram))
         places = lowest(grams, self.length - self.gram + 1)
         text = np.searchsorted(counts, np.arange(len(places)), "right") - 1

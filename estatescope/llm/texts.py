@@ -12,6 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A piece holds about so many bytes of text; a longer text is a piece of its own.
@@ -84,6 +85,26 @@ def word_spans(data: np.ndarray, at: np.ndarray, table: np.ndarray | None = None
     return starts, ends, np.searchsorted(starts, at)
 
 
+class _WordHashes(dict):
+    """XXH64 of words; short ones are remembered, a bounded number at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_hashes = _WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, taken over its bytes one by one: no polynomial, so no words are known to collide."""
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
