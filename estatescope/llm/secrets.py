@@ -15,6 +15,7 @@ may have any name.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -77,6 +78,32 @@ def is_random(string: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> bool:
         max(map(len, PART.findall(string)), default=0) < 4 or of_words(string, encode, most)))
 
 
+def maximal_runs(scores: list[float]) -> list[tuple[int, int]]:
+    """First and last place of the run with the highest sum, and then the same on both sides of it, in one pass.
+
+    A new positive score is a run of its own; it takes in the run before it that began on a lower sum, and all between,
+    as long as that ended on a lower sum, too.  Each run knows the nearest one before it that began lower."""
+    runs: list[tuple[int, float, float, int]] = []  # first place, sum before it, sum after it, nearest that began lower
+    last: list[int] = []
+    total = 0.0
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        first, low = i, before
+        while True:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][1] >= low:
+                j = runs[j][3]
+            if j < 0 or runs[j][2] >= total:
+                break
+            first, low = runs[j][0], runs[j][1]
+            del runs[j:], last[j:]
+        runs.append((first, low, total, j))
+        last.append(i)
+    return [(run[0], end) for run, end in zip(runs, last, strict=True)]
+
+
 def random_stretches(string: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
     """Where ``string`` is random: all of it, or stretches of its parts between separators.
 
@@ -86,32 +113,25 @@ def random_stretches(string: str, encode, most: float = MOST_CHARS_PER_TOKEN) ->
     if not uuids and is_random(string, encode, most):
         return [(0, len(string))]
     runs: list[list[tuple[int, int, float]]] = [[]]
+    uuid = 0
     for m in PART.finditer(string):
         part, (start, end) = m.group(), m.span()
-        if NUMBER.fullmatch(part) or DIGEST.fullmatch(part) or any(s <= start < e for s, e in uuids):
+        while uuid < len(uuids) and uuids[uuid][1] <= start:
+            uuid += 1
+        in_uuid = uuid < len(uuids) and uuids[uuid][0] <= start
+        if in_uuid or NUMBER.fullmatch(part) or DIGEST.fullmatch(part):
             runs.append([])
         else:
             runs[-1].append((start, end, most * len(encode(part)) - (end - start)))
     out = []
-    while runs:
-        run = runs.pop()
-        best, first, total, chosen = 0.0, 0, 0.0, None
-        for i, (_, _, score) in enumerate(run):
-            if total <= 0:
-                first, total = i, 0.0
-            total += score
-            if total > best:
-                best, chosen = total, (first, i)
-        if chosen is None:
-            continue
-        i, j = chosen
-        start, end = run[i][0], run[j][1]
-        # Short names in a row are no key: its parts alone must be long enough.
-        long = sum(e - s for s, e, _ in run[i:j + 1] if e - s >= 4)
-        if long >= LEAST_LONG and end - start >= LEAST and is_random(string[start:end], encode, most):
-            out.append((start, end))
-        runs += [run[:i], run[j + 1:]]
-    return sorted(out)
+    for run in runs:
+        for i, j in maximal_runs([score for _, _, score in run]):
+            start, end = run[i][0], run[j][1]
+            # Short names in a row are no key: its parts alone must be long enough.
+            long = sum(e - s for s, e, _ in run[i:j + 1] if e - s >= 4)
+            if long >= LEAST_LONG and end - start >= LEAST and is_random(string[start:end], encode, most):
+                out.append((start, end))
+    return out
 
 
 def known_shapes(text: str) -> list[Span]:
@@ -123,14 +143,25 @@ def known_shapes(text: str) -> list[Span]:
 
 
 def spans_in(text: str, encode, most: float = MOST_CHARS_PER_TOKEN) -> list[Span]:
-    """All spans by start and kind; random strings inside a known shape are not told twice."""
+    """All spans by start and kind; what known shapes cover is cut out before random strings are looked for."""
     found = known_shapes(text)
-    known, at, reach = sorted((s, e) for _, s, e in found), 0, -1
+    covered: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in found):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    at = 0
     for m in CANDIDATE.finditer(text):
-        while at < len(known) and known[at][0] < m.end():
-            reach, at = max(reach, known[at][1]), at + 1
-        if reach <= m.start():
-            found += [("random", m.start() + s, m.start() + e) for s, e in random_stretches(m.group(), encode, most)]
+        start, end = m.span()
+        while start < end:
+            while at < len(covered) and covered[at][1] <= start:
+                at += 1
+            cut = covered[at] if at < len(covered) and covered[at][0] < end else [end, end]
+            free = m if (start, cut[0]) == m.span() else CANDIDATE.fullmatch(text, start, max(start, cut[0]))
+            if free:
+                found += [("random", start + s, start + e) for s, e in random_stretches(free.group(), encode, most)]
+            start = max(start, cut[1])
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -141,6 +172,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``vocabulary`` is a file of ranks on the driver; its content goes to the tasks (under 1 MB)."""
     spark = docs.sparkSession
+    if not os.path.exists(vocabulary):
+        raise FileNotFoundError(f"{vocabulary}: pass the path of a tiktoken vocabulary (ranks) as vocabulary=")
     with open(vocabulary, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
