@@ -28,6 +28,8 @@ from estatescope.llm.texts import flat, mixed, pieces
 
 #: Buckets for n-grams, as a power of two; n-gram lengths in bytes of letters.
 BUCKET_BITS, LENGTHS = 12, (1, 2, 3, 4)
+#: Bytes of a text that are counted at once.
+CHUNK = 1 << 20
 UNKNOWN = "und"
 #: Below this score a text is flagged as ambiguous.
 SURE = 0.6
@@ -66,16 +68,22 @@ def _letter_table() -> np.ndarray:
 LETTERS = _letter_table()
 
 
-def grams(data: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Buckets of the n-grams of one text; runs of other characters than letters count as one blank."""
+def gram_counts_of(data: np.ndarray, bits: int = BUCKET_BITS, chunk: int = CHUNK) -> np.ndarray:
+    """How many n-grams of one text fall to each bucket; runs of other characters than letters count as one blank.
+
+    Texts are counted a chunk at a time, so a long one costs a few bytes for each of its own."""
     x = LETTERS[data]
-    x = np.concatenate([[0x20], x[(x != 0x20) | np.roll(x != 0x20, 1)], [0x20]]).astype(np.uint64)
-    out, code = [], np.zeros(len(x), np.uint64)
-    for n in range(1, max(LENGTHS) + 1):
-        code = (code[:len(x) - n + 1] << np.uint64(8)) | x[n - 1:]
-        if n in LENGTHS:
-            out.append(mixed(code, n) >> np.uint64(64 - bits))
-    return np.concatenate(out).astype(np.int64)
+    blank = np.array([0x20], np.uint8)
+    x = np.concatenate([blank, x[(x != 0x20) | np.roll(x != 0x20, 1)], blank])
+    out = np.zeros(1 << bits, np.int64)
+    for start in range(0, len(x), chunk):
+        part = x[start:start + chunk + max(LENGTHS) - 1].astype(np.uint64)
+        code = np.zeros(len(part), np.uint64)
+        for n in range(1, max(LENGTHS) + 1):
+            code = (code[:len(part) - n + 1] << np.uint64(8)) | part[n - 1:]
+            if n in LENGTHS:
+                out += np.bincount((mixed(code[:chunk], n) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return out
 
 
 def _has_letter(text: str | None) -> bool:
@@ -92,7 +100,7 @@ def gram_counts(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
         for piece in pieces(batches, "text"):
             data, at = flat(piece.column("text"))
             for i, name in enumerate(piece.column("lang").to_pylist()):
-                found = np.bincount(grams(data[at[i]:at[i + 1]]), minlength=1 << BUCKET_BITS)
+                found = gram_counts_of(data[at[i]:at[i + 1]])
                 totals[name] = totals.get(name, 0) + found
         for name, found in totals.items():
             buckets = np.flatnonzero(found)
@@ -153,9 +161,8 @@ def identify(docs: DataFrame, model: Model, *keep: str, text: str = "text", scal
             known = np.array([bool(m.languages) and _has_letter(t) for t in column.to_pylist()], bool)
             margins = np.zeros((piece.num_rows, m.codes.shape[1]))
             for i in np.flatnonzero(known):
-                found = grams(data[at[i]:at[i + 1]])
-                shares = np.bincount(found, minlength=1 << BUCKET_BITS) / len(found)
-                margins[i] = shares @ m.weights
+                found = gram_counts_of(data[at[i]:at[i + 1]])
+                margins[i] = found / found.sum() @ m.weights
             best, score = np.zeros(piece.num_rows, int), np.zeros(piece.num_rows)
             if m.languages:
                 share = decoded(m, margins, scale)
