@@ -38,7 +38,7 @@ from estatescope.workspace import removed, stored, work_folder
 
 TOP, LEAF, FANOUT = 20, 32, 8
 #: Bytes of item texts in a block, cells of its dense weights, documents sorted at once, postings searched at once.
-BLOCK_BYTES, CELLS, SORTED, SEARCHED = 4 << 20, 4 << 20, 1 << 14, 1 << 21
+BLOCK_BYTES, CELLS, SORTED, SEARCHED = 4 << 20, 4 << 20, 1 << 12, 1 << 19
 STRETCH = 1 << 20
 #: Bounds are raised by this share, far above the rounding of sums of doubles.
 MARGIN = 1 + 1e-9
