@@ -107,6 +107,96 @@ def test_secrets_by_token_efficiency():
         assert not secrets.is_random(plain, encode)
 
 
+def test_shards_of_the_mix_are_those_of_the_tree(spark, monkeypatch):
+    """What each shard gets of each source is the tree's draw; other quotas give other rows."""
+    rng = random.Random(21)
+    docs = table(spark, [(i, prose(rng, rng.randint(1, 60))) for i in range(300)])
+    drawn = []
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: drawn.append(split(*a)) or drawn[-1])
+    documents, segments = mixing.mix(docs, block=16, shards=5)
+    blocks = segments.join(documents.select("row", "source"), "row").groupBy("source", "shard").agg(
+        F.count_distinct("place").alias("n")).collect()
+    got = {(r.source, r.shard): r.n for r in blocks}
+    sources = sorted({s for s, _ in got})
+    assert got == {(s, k): int(drawn[0][k, i]) for k in range(5) for i, s in enumerate(sources) if drawn[0][k, i]}
+    rows = by_id(mixing.taken_words(documents, segments), "taken", "shards")
+    assert all(t == sum(int(x.split(":")[1]) for x in p.split(",") if x) for t, p in rows.values())
+
+    def equal(counts, shards, seed):
+        return np.diff(np.linspace(0, 1, shards + 1)[:, None] * counts // 1, axis=0).astype(np.int64)
+
+    monkeypatch.setattr(mixing, "split_quotas", equal)
+    other = by_id(mixing.taken_words(*mixing.mix(docs, block=16, shards=5)), "taken", "shards")
+    assert other != rows
+
+
+def test_grams_are_counted_in_chunks_and_in_bounded_memory():
+    import tracemalloc
+    rng = random.Random(17)
+    for _ in range(60):
+        text = "".join(rng.choices("abcAB é.,  \n12中", k=rng.randint(0, 90))).encode()
+        data, lowered = np.frombuffer(text, np.uint8), []
+        for b in text:
+            c = chr(b).lower() if b < 128 else chr(b)
+            c = c if b >= 128 or c.isalpha() else " "
+            lowered.append(c)
+        kept = [c for i, c in enumerate(lowered) if c != " " or lowered[i - 1] != " "]
+        whole = [32, *map(ord, kept), 32]
+        want = np.zeros(1 << 12, np.int64)
+        for n in language.LENGTHS:
+            codes = [int.from_bytes(bytes(whole[i:i + n]), "big") for i in range(len(whole) - n + 1)]
+            np.add.at(want, (texts.mixed(np.array(codes, np.uint64), n) >> np.uint64(52)).astype(np.int64), 1)
+        for chunk in (3, 7, 1 << 20):
+            assert (language.gram_counts_of(data, chunk=chunk) == want).all()
+    large = np.frombuffer(b"the quick brown fox " * ((50 << 20) // 20), np.uint8)
+    tracemalloc.start()
+    language.gram_counts_of(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
+def test_runs_of_highest_sums_equal_the_recursive_rule():
+    def recursive(scores, at=0):
+        best = max(((sum(scores[i:j + 1]), -i, -j) for i in range(len(scores)) for j in range(i, len(scores))),
+                   default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        i, j = -best[1], -best[2]
+        return recursive(scores[:i], at) + [(at + i, at + j)] + recursive(scores[j + 1:], at + j + 1)
+
+    rng = random.Random(12)
+    for _ in range(400):
+        scores = [rng.uniform(-3, 3) for _ in range(rng.randint(0, 18))]
+        assert secrets.maximal_runs(scores) == recursive(scores)
+
+
+def test_secret_scans_of_long_paths_take_linear_time():
+    import time
+    with open(secrets.VOCABULARY, "rb") as file:
+        encode = secrets.encoding(file.read()).encode_ordinary
+    rng = random.Random(13)
+    path = "/".join("".join(rng.choices("abcdefgXYZ0123456789", k=rng.randint(2, 12))) if i % 2 else "service"
+                    for i in range(130_000))[:1 << 20]
+    start = time.process_time()
+    secrets.spans_in(path, encode)
+    assert time.process_time() - start < 10
+    uuids = "-".join(["123e4567-e89b-12d3-a456-426614174000"] * 3000)
+    start = time.process_time()
+    secrets.spans_in(uuids, encode)
+    assert time.process_time() - start < 5
+
+
+def test_secrets_beside_known_shapes():
+    with open(secrets.VOCABULARY, "rb") as file:
+        encode = secrets.encoding(file.read()).encode_ordinary
+    digest, key = "0123456789abcdef" * 2, "qX7vT9zLk2RwB4nY8mPd"
+    for text in (f"{digest}-{key}", f"{key}-{digest}", f"{digest}/{key}/{digest}"):
+        found = {text[s:e].strip("-/") for k, s, e in secrets.spans_in(text, encode) if k == "random"}
+        assert found == {key}, text
+
+
 def test_secrets_of_letters_and_inside_paths_and_names():
     import string
     with open(secrets.VOCABULARY, "rb") as file:
@@ -534,6 +624,58 @@ def test_near_copies_of_similarity_are_found_and_no_others(spark):
     assert together(roots.get) == together(top)
 
 
+@pytest.mark.parametrize("group", [substrings.GROUP, 1])
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark, group):
+    """Two long words, equal under any polynomial modulo 2^64, in windows that are equal but for them."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{rest} {one}"), (4, f"{rest} {one}")]
+    got = by_id(substrings.remove_repeats(table(spark, rows), group=group, bits=20), "n_words", "n_removed")
+    assert got == {1: (35, 0), 2: (35, 0), 3: (35, 35), 4: (35, 35)}
+
+
+def test_a_family_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """5,000 texts that are pairwise similar at 0.47 to 0.79 but for some 350 pairs, through shingles that most of them have."""
+    rng = random.Random(41)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        for j in rng.sample(range(i % 6, 200, 6), rng.randint(3, 6) + (i % 9 > 0)):  # edits far enough apart to cost five shingles each
+            words[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(words)))
+    # Similarities of all pairs, from the shingles that more than one text has.
+    sets = [near_copies.shingles(t) for _, t in rows]
+    values, count = np.unique(np.concatenate(sets), return_counts=True)
+    shared = values[count > 1]
+    has = np.zeros((5000, len(shared)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, np.searchsorted(shared, x[np.isin(x, shared)])] = 1
+    both, n = has @ has.T, np.array([len(x) for x in sets], np.float32)
+    similar = both / (n[:, None] + n - both)
+    parent = list(range(5000))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = np.argwhere(np.triu(similar >= 0.8, 1))
+    for i, j in linked.tolist():
+        parent[top(j)] = top(i)
+    assert 0.45 < similar.min() and len(linked) < 500
+    made = []
+    compare = near_copies.Comparison.similar
+    monkeypatch.setattr(near_copies.Comparison, "similar",
+                        lambda self, pairs: made.append(pairs.count()) or compare(self, pairs))
+    roots = {r.doc_id: r.root for r in near_copies.components(table(spark, rows)).collect()}
+    together = lambda f: sorted(sorted(g) for g in _grouped(range(5000), f).values())
+    assert together(roots.get) == together(top)
+    # Those of lesser similarity make none, those just below 0.8 cannot be told apart by prefixes.
+    assert sum(made) <= 5000 * 4999 // 2 // 10, made
+
+
 def _grouped(ids, f):
     out = defaultdict(list)
     for i in ids:
