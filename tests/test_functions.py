@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from estatescope.functions import (
     clock_text, column_count, datetime_text, default_literal, format_type, in_string_count, int_date,
-    is_key, kind_description, percent_used, schedule_description, split_long_text, thousands,
+    is_key, kind_description, like_ci, percent_used, schedule_description, split_long_text, text_flag, thousands,
     whole_div,
 )
 
@@ -112,3 +112,25 @@ def brute_force_pieces(text, n):
 def test_split_long_text(spark, text):
     got = values(spark, [(text,)], "t string", split_long_text(F.col("t"), 20))[0]
     assert got == brute_force_pieces(text, 20)
+
+
+PATTERNS = ["%for xml%", "%declare%cursor%", "a%b%", "%a%b", "a%b%c", "a%b", "%a_c%b%", "%a.c%(b)%", "%%a%%b%%", "a\\%%b%c%", "", "%",
+            "%\u00e9%[x]%", "ab%b%", "%ab%b"]
+LIKE_TEXTS = ["", "ab", "abb", "aXb", "declare c\ncursor for", "for  xml", "FOR XML", "a\nb\nc", "abc", "axcb", "a.c(b)", "cba", "a%bc", "bab",
+              "\u00c9 [X]", "x\U0001f600abb"]
+
+
+def test_like_with_several_parts_is_like(spark):
+    rows = spark.createDataFrame([(t,) for t in [*LIKE_TEXTS, None]], "t string").select(
+        "t", *[like_ci(F.col("t"), p).alias(f"got{i}") for i, p in enumerate(PATTERNS)],
+        *[F.lower("t").like(p).alias(f"want{i}") for i, p in enumerate(PATTERNS)]).collect()
+    for r in rows:
+        assert [r[f"got{i}"] for i in range(len(PATTERNS))] == [r[f"want{i}"] for i in range(len(PATTERNS))], r.t
+
+
+def test_like_does_not_try_every_pair_of_places(spark):
+    import time
+    text = F.repeat(F.lit("en the "), 3_000)
+    started = time.time()
+    assert values(spark, [(1,)], "n int", text_flag(F.concat(text, F.col("n").cast("string")), "%EN%the%ion%")) == [0]
+    assert time.time() - started < 30
