@@ -20,7 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word similarity of 0.8 or more.
+
+    SimHash, checked as whole sets, finds the closest ones; a prefix-filter join all others."""
     ship(spark)
     return near_copies.representatives(docs)
 

@@ -1,17 +1,22 @@
 """Near-duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-An exact prefix-filter join.  All shingles have one order, rarest first: by their count in a count-min sketch that is merged
+SimHash first, then an exact prefix-filter join for what it leaves.  Each set has the fingerprint of its shingles; the trie of
+the fingerprints is joined with itself (``simhash.links``), and every node is compared with the least one of its
+fingerprint's component.  Fingerprints within four bits hold the closest copies, not all of 0.8, and not only those, so
+each pair is checked as whole sets, and all other pairs are looked for by prefixes.
+
+The prefix-filter join: all shingles have one order, rarest first: by their count in a count-min sketch that is merged
 from all partitions, then by hash.  Any order is exact; this one keeps passages that many texts share out of the prefixes.
 Two sets of n >= m shingles that are similar enough share one of the first n - ceil(0.8 n) + 1 of the larger set and the first
 m - ceil(8/9 m) + 1 of the smaller one, and the shingle that they share first has enough members behind it on both sides
 (size and position filter).
 
-Equal sets are one node, so copies never become pairs.  Pairs are made in three steps, and what an earlier step has linked is no
-pair of a later one:
+Equal sets are one node, so copies never become pairs.  Its pairs are made in three steps, and what SimHash or an earlier step has
+linked is no pair of a later one:
 
 1. every node with the centre of the largest bucket (nodes that share a shingle of their prefixes) that it is in; the centre is
    the member in which the shared shingle stands first, the least edited one of a family;
-2. nodes with the centres of their other buckets, where the two do not hang on one centre already;
+2. nodes with the centres of their other buckets, where the two are not linked already;
 3. in buckets that are not yet one component, the members outside the centre's component with all others, under the filters.
 
 Before sets are compared a parity bitmap of each (every shingle flips one bit) bounds their difference from below; only
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from estatescope.llm.components import connected
-from estatescope.llm.simhash import first_rows, tie_of
+from estatescope.llm.simhash import fingerprint_of, first_rows, links, tie_of
 from estatescope.llm.texts import mixed, pieces, word_hashes
 from estatescope.workspace import removed, stored, work_folder
 
@@ -190,7 +195,7 @@ def described(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str =
 
 
 def _nodes(docs: DataFrame, steps: np.ndarray, doc_id: str, text: str, size: int, percent: int, bits: int) -> DataFrame:
-    """(name, n, prefix, bits): one row of every different set but the empty one."""
+    """(name, n, fp, prefix, bits): one row of every different set but the empty one; fp is its SimHash fingerprint."""
     sent = docs.sparkSession.sparkContext.broadcast(steps)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +212,12 @@ def _nodes(docs: DataFrame, steps: np.ndarray, doc_id: str, text: str, size: int
                     found.append(values)
             prefixes = [ordered(x, sent.value, bits)[:probe_length(len(x), percent)] for x in found]
             yield pa.RecordBatch.from_arrays(
-                [_names(found), pa.array([len(x) for x in found], pa.int64()), _lists(prefixes),
-                 pa.array([bitmap(x) for x in found], pa.binary())], ["name", "n", "prefix", "bits"])
+                [_names(found), pa.array([len(x) for x in found], pa.int64()),
+                 pa.array(np.array([fingerprint_of(x) for x in found], np.uint64).view(np.int64)), _lists(prefixes),
+                 pa.array([bitmap(x) for x in found], pa.binary())], ["name", "n", "fp", "prefix", "bits"])
 
     return _rows(docs, doc_id, text).select("text").mapInArrow(
-        scan, "name bigint, n bigint, prefix array<bigint>, bits binary").dropDuplicates(["name"])
+        scan, "name bigint, n bigint, fp bigint, prefix array<bigint>, bits binary").dropDuplicates(["name"])
 
 
 # Comparing
@@ -272,6 +278,23 @@ class Comparison:
         return found
 
 
+def _by_fingerprint(nodes: DataFrame, folder: str) -> DataFrame:
+    """Pairs of each node and the least one of its fingerprint's component."""
+    least = stored(nodes.groupBy("fp").agg(F.min("name").alias("least")), f"{folder}/fingerprints")
+    roots = connected(links(least.select("fp"), f"{folder}/simhash"), f"{folder}/simhash")
+    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("b"))
+    return nodes.select(F.col("name").alias("a"), "fp").join(rooted.select("fp", "root"), "fp").join(
+        first, "root").where("a <> b").select("a", "b")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that no links connect yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _remaining(met: DataFrame, centres: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of buckets that are not one component: members outside the centre's component with all others."""
     rooted = met.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn(
@@ -315,14 +338,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         "name", "centre").agg(F.max("members").alias("members")), f"{folder}/stars")
     first = stars.groupBy("name").agg(F.max(F.struct("members", "centre")).alias("x")).select(
         F.col("name").alias("a"), F.col("x.centre").alias("b"))
-    found = compare.similar(first)
-    on = found.select("a", "b")
-    other = stars.select(F.col("name").alias("a"), F.col("centre").alias("b"))
-    for end in ("a", "b"):  # the centre on which each end hangs
-        other = other.join(on.select(F.col("a").alias(end), F.col("b").alias(f"on_{end}")), end, "left").withColumn(
-            f"on_{end}", F.coalesce(f"on_{end}", end))
-    other = other.where("on_a <> on_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = found.union(compare.similar(other))
+    near = compare.similar(_by_fingerprint(nodes, folder))
+    linked = near.union(compare.similar(_apart(first, connected(near, f"{folder}/near"))))
+    other = stars.select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b"))
+    found = linked.union(compare.similar(_apart(other, connected(linked, f"{folder}/linked")).distinct()))
     roots = connected(found, f"{folder}/first")
     removed(spark, f"{folder}/stars")
 

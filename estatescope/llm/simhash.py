@@ -64,10 +64,25 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     for at in range(0, len(first), 1 << 16):
         hashes = np.array([xxh(joined[s:e], SEED) for s, e in zip(
             first[at:at + (1 << 16)], last[at:at + (1 << 16)], strict=True)], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    chosen = np.flatnonzero(2 * counts > len(first))
-    return sum(1 << int(b) for b in chosen)
+        counts += _ones(hashes)
+    return _majority(counts, len(first))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 bits the number of hashes that have it set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of a text that is given by the hashes of its shingles."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += _ones(hashes[at:at + (1 << 16)])
+    return _majority(counts, len(hashes))
 
 
 def tie_of(text: str) -> Column:

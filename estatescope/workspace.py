@@ -24,14 +24,24 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{run}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it has ended.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     """Write ``df`` once and read it back: later steps, and retries after a lost executor, start
-    from the files."""
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    from the files.  What was shuffled to make them is deleted then, not when the driver next collects garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        writer = df.write.mode("errorifexists").option("compression", "zstd")
+        if partitions:
+            writer = writer.partitionBy(*partitions)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, before) if before is not None else spark.conf.unset(_CLEANED)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _at(spark: SparkSession, path: str) -> tuple:

@@ -690,3 +690,22 @@ def test_pipeline_drops_edited_copies(spark, tmp_path):
     for i in range(120):
         assert (10_000 + i in kept) == (jaccard(texts_of[i], texts_of[10_000 + i]) < 0.8), i
         assert i in kept
+
+
+def test_simhash_links_close_copies_before_prefixes_are_joined(spark, monkeypatch):
+    """What SimHash has linked is checked as whole sets and is no pair of the prefix-filter join."""
+    rng = random.Random(43)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join([*words[:-1], "other"]))]
+    near = {i for i in range(40) if (simhash.fingerprint_of(near_copies.shingles(rows[2 * i][1])) ^ simhash.fingerprint_of(
+        near_copies.shingles(rows[2 * i + 1][1]))).bit_count() <= simhash.ERRORS}
+    assert len(near) > 20
+    made = []
+    compare = near_copies.Comparison.similar
+    monkeypatch.setattr(near_copies.Comparison, "similar",
+                        lambda self, pairs: made.append(pairs.count()) or compare(self, pairs))
+    roots = {r.doc_id: r.root for r in near_copies.components(table(spark, rows)).collect()}
+    assert all(roots[i] == roots[1000 + i] for i in range(40)) and len(set(roots.values())) == 40
+    assert made[0] >= len(near) and sum(made[1:]) <= 40 - len(near)

@@ -312,3 +312,25 @@ def test_resumed_run_loads_only_changed_databases(spark, snapshot_path, tmp_path
     gone = changed | {"databases": changed["databases"].filter(~here)}
     s, loaded = load(gone)
     assert loaded == set() and not s["objects"].filter(here).count() and s["objects"].count()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    """What was shuffled to make a table is deleted when it is written, and not kept until the driver collects garbage."""
+    import glob
+    import os
+    import time
+    from estatescope.workspace import stored
+
+    def shuffled():
+        local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in local for f in glob.glob(f"{d}/**/shuffle_*", recursive=True) if os.path.getsize(f)}
+
+    before = shuffled()
+    rows = spark.range(100_000).groupBy(F.xxhash64("id").alias("k")).agg(F.max("id").alias("m"))
+    out = stored(rows, str(tmp_path / "table"))
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert out.count() == 100_000
