@@ -532,15 +532,19 @@ def load_columns(b: dict[str, DataFrame], databases: DataFrame, objects: DataFra
         eligible = not_loaded(eligible, done, DB)
     catalog = eligible.select(*DB, F.col("database_name").alias("table_catalog"))
     schemas = b["schemas"].select(*DB, "schema_id", F.col("name").alias("table_schema"))
+    loaded = objects.select(*NAMED, F.col("object_id").alias("_loaded_id"))
+    # The loaded object is looked up once for each table, before its columns come in.
     tables = (b["tables"].filter(kind_code(F.col("type")) == "U")
               .join(catalog, DB).join(schemas, [*DB, "schema_id"])
-              .select(*OBJ, "table_catalog", "table_schema", F.col("name").alias("table_name")))
+              .select(*OBJ, "table_catalog", "table_schema", F.col("name").alias("table_name"),
+                      name_key(F.col("table_schema")).alias("schema_key"),
+                      name_key(F.col("name")).alias("object_key"))
+              .join(loaded, NAMED, "left"))
     types = b["types"].filter(F.lower("name") != "sysname").withColumnRenamed("name", "_type")
     type_id = "system_type_id" if mode == "reference" else "user_type_id"
     defaults = b["default_constraints"].select(
         *DB, F.col("object_id").alias("default_object_id"),
         F.col("definition").alias("column_default"))
-    loaded = objects.select(*NAMED, F.col("object_id").alias("_loaded_id"))
     # Most columns have no default (0), so that join must not gather them.
     typed = tables.join(b["columns"], OBJ).join(types.select(*DB, type_id, "_type"),
                                                 [*DB, type_id])
@@ -548,9 +552,6 @@ def load_columns(b: dict[str, DataFrame], databases: DataFrame, objects: DataFra
     return (
         left_lookup(typed, defaults, [*DB, "default_object_id"], has_default,
                     ["object_id", "column_id"])
-        .withColumn("schema_key", name_key(F.col("table_schema")))
-        .withColumn("object_key", name_key(F.col("table_name")))
-        .join(loaded, NAMED, "left")
         .select(*DB, F.col("_loaded_id").alias("object_id"), "table_catalog", "table_schema",
                 "table_name", F.col("name").alias("column_name"),
                 F.col("column_id").alias("ordinal_position"), "column_default", "is_nullable",
@@ -571,11 +572,16 @@ def load_index_usage(b: dict[str, DataFrame], databases: DataFrame, objects: Dat
     """
     eligible = eligible_databases(databases, skip_warehouse=True)
     schemas = b["schemas"].select(*DB, "schema_id", F.col("name").alias("table_schema"))
+    tables = objects.filter(F.col("xtype") == "U").select(*NAMED, F.col("object_id").alias("_id"))
+    # The loaded object is looked up once for each owner, before indexes and their lists come in.
     owners = (b["objects"].filter(F.col("type_desc").isin("USER_TABLE", "VIEW"))
               .join(eligible.select(*DB), DB, "left_semi")
               .join(schemas, [*DB, "schema_id"])
               .select(*OBJ, "table_schema", F.col("type_desc").alias("object_type"),
-                      F.col("name").alias("table_name")))
+                      F.col("name").alias("table_name"),
+                      name_key(F.col("table_schema")).alias("schema_key"),
+                      name_key(F.col("name")).alias("object_key"))
+              .join(tables, NAMED, "left"))
     indexes = b["indexes"].withColumnsRenamed({"name": "index_name", "type_desc": "index_type"})
 
     names = b["columns"].select(*OBJ, "column_id", "name")
@@ -620,12 +626,8 @@ def load_index_usage(b: dict[str, DataFrame], databases: DataFrame, objects: Dat
     per_file = F.lit(1) if exact else F.coalesce("_files", F.lit(1))
     per_unit = F.lit(1) if exact else F.coalesce("_units", F.lit(1)) * per_file
     in_use = ~F.col("is_disabled")
-    tables = objects.filter(F.col("xtype") == "U").select(*NAMED, F.col("object_id").alias("_id"))
     return (
-        df.withColumn("schema_key", name_key(F.col("table_schema")))
-        .withColumn("object_key", name_key(F.col("table_name")))
-        .join(tables, NAMED, "left")
-        .select(*DB, F.col("_id").alias("object_id"), "data_space", "allocation_desc",
+        df.select(*DB, F.col("_id").alias("object_id"), "data_space", "allocation_desc",
                 "table_schema", "object_type", "table_name", "index_type", "index_name",
                 "is_unique", "is_disabled", "database_file",
                 *[(F.col(c) * per_file).alias(c) for c in ("size_mbs", "used_size", "data_size")],

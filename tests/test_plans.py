@@ -81,3 +81,27 @@ def test_texts_do_not_move_before_they_are_attached(spark):
     # Below an exchange of the search stand pieces of texts; a whole one only where a name has to be looked up in it.
     for line in shuffles(g["reference_hits"]):
         assert "routine_definition" not in line
+
+
+@pytest.mark.parametrize("name", ["load_columns", "load_columns_intended", "load_index_usage", "load_index_usage_intended"])
+def test_columns_and_indexes_are_not_moved_by_name(spark, name):
+    """Names are looked up where there is one row per table: no exchange by name stands above the columns."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        lines = plan(all_queries()[name](spark, SF)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+    def depth(line):
+        return next(i for i, x in enumerate(line) if x.isalpha() or x == "*")
+
+    by_name = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x and "object_key" in x]
+    assert by_name
+    for i in by_name:
+        below = []
+        for line in lines[i + 1:]:
+            if depth(line) <= depth(lines[i]):
+                break
+            below.append(line)
+        assert not [x for x in below if "l_partkey" in x]
