@@ -83,6 +83,7 @@ def gold_jobs(s: Tables, mode: str = "reference") -> Jobs:
         "volumes_view": lambda g: views.volumes_view(s),
         "routine_findings": lambda g: rules.routine_findings(g["objects_view"], s["texts"]),
         "column_findings": lambda g: rules.column_findings(g["columns_view"], mode),
+        "column_counts": lambda g: rules.column_counts(s["columns"], g["objects_view"], mode),
         "reference_hits": lambda g: rules.reference_hits(
             g["objects_view"], s["texts"], s["linked_servers"], s["databases"], mode),
         "cross_server_hits": lambda g: rules.cross_server_hits(g["reference_hits"]),

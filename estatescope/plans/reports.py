@@ -125,7 +125,7 @@ def databases_report(g: Tables, s: Tables) -> DataFrame:
     found = (F.col("incompatible_type") == 1) & F.col("text_key").isNotNull()
     df = rollup_union(
         g["databases_view"].filter(not_system()), DB,
-        (g["column_findings"], {"_incompatible": F.col("incompatible_column"), "_computed": F.col("computed_column"),
+        (g["column_counts"], {"_incompatible": F.col("incompatible_column"), "_computed": F.col("computed_column"),
                                 "_large": F.col("large_text_column"), "_defaults": F.col("invalid_default")}),
         (g["routine_findings"], {"_xml": F.col("uses_for_xml"), "_cursor": F.col("uses_cursor"), "_kinds": flag(found)}),
         (s["sequences"], {"_sequences": F.lit(1)}))

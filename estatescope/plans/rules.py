@@ -8,10 +8,11 @@ text; ``with_texts`` attaches it last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from estatescope.functions import fixed_values as fv
 from estatescope.functions.scalars import kind_description, like_ci, name_key, text_flag
+from estatescope.operators.aggregates import flag
 from estatescope.operators.joins import left_lookup
 from estatescope.operators.matching import SUFFIXES, all_matches
 from estatescope.sources.texts import KEY, TEXT
@@ -93,8 +94,7 @@ def incompatible_routines(findings: DataFrame) -> DataFrame:
             .select(*_ROUTINE, "uses_for_xml", "uses_cursor", "incompatible_type"))
 
 
-def column_findings(columns_view: DataFrame, mode: str = "reference") -> DataFrame:
-    """Every column with its four flags."""
+def _column_flags(mode: str) -> dict[str, Column]:
     kind = F.lower("data_type")
     computed = F.coalesce("is_computed", F.lit(False))
     if mode == "reference":
@@ -107,9 +107,23 @@ def column_findings(columns_view: DataFrame, mode: str = "reference") -> DataFra
         "large_text_column": large | computed,
         "invalid_default": like_ci(F.col("column_default"), fv.CALL_DEFAULT_PATTERN),
     }
+    return {n: flag(c) for n, c in flags.items()}
+
+
+def column_findings(columns_view: DataFrame, mode: str = "reference") -> DataFrame:
+    """Every column with its four flags."""
     return columns_view.select(
         *_COLUMN, F.col("row_count").alias("table_row_count"), "column_default",
-        *[F.when(c, 1).otherwise(0).alias(n) for n, c in flags.items()])
+        *[c.alias(n) for n, c in _column_flags(mode).items()])
+
+
+def column_counts(columns: DataFrame, objects_view: DataFrame, mode: str = "reference") -> DataFrame:
+    """Every object that has columns with the sums of its columns' four flags.
+
+    These are the findings by object; columns are added up under their object's name before that is looked up, so that
+    the join moves and sorts objects, not columns.  Objects of one name count the columns of it once each."""
+    counted = columns.groupBy(*NAMED).agg(*[F.sum(c).alias(n) for n, c in _column_flags(mode).items()])
+    return objects_view.select(*NAMED).join(counted, NAMED)
 
 
 def _columns_where(findings: DataFrame, flag: str) -> DataFrame:

@@ -91,7 +91,7 @@ class Star:
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("column_id"),
             "l_linenumber", "l_discount", "l_returnflag")
-        return self._orders.select(*DB, "object_id", "index_id", "o_orderkey").join(
+        return self._orders.select(*DB, "object_id", "index_id", "o_orderkey", "c_name", "c_mktsegment").join(
             lines, "o_orderkey")
 
     @cached_property

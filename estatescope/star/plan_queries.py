@@ -9,7 +9,7 @@ from estatescope.plans.assessment import evaluate, gold_jobs, rule_jobs
 from estatescope.sources.texts import with_texts
 from estatescope.star.inventory import StarInventory
 from estatescope.star.registry import SQL, query
-from estatescope.workspace import work_folder
+from estatescope.workspace import stored, work_folder
 
 _ROLLUP = ["indexes", "index_data_size", "index_used_size", "unique_indexes",
            "included_column_indexes", "filtered_indexes", "column_stores"]
@@ -176,9 +176,13 @@ def view_servers(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------ rules
 
 
-def _gold(spark: SparkSession, d: str, mode: str = "reference", kept: tuple[str, ...] = ()):
+def _gold(spark: SparkSession, d: str, mode: str = "reference", kept: tuple[str, ...] = (),
+          loaded: tuple[str, ...] = ()):
+    """Inventory and gold tables; of the inventory those in ``loaded`` are stored first, of gold those in ``kept``."""
     s = StarInventory(spark, d)
-    folder = work_folder(spark, "gold") if kept else ""
+    folder = work_folder(spark, "gold") if kept or loaded else ""
+    for name in loaded:
+        setattr(s, name, stored(s[name], f"{folder}/loaded/{name}"))
     return s, evaluate(gold_jobs(s, mode), {name: f"{folder}/{name}" for name in kept})
 
 
@@ -377,7 +381,7 @@ def report_top_sql(spark: SparkSession, d: str) -> DataFrame:
     LEFT JOIN (SELECT database_id, count(*) AS n FROM x_sequences GROUP BY ALL) q
       USING (database_id)""")
 def report_databases(spark: SparkSession, d: str) -> DataFrame:
-    s, g = _gold(spark, d, kept=("reference_hits",))
+    s, g = _gold(spark, d, kept=("reference_hits",), loaded=("linked_servers", "texts"))
     return reports.databases_report(g, s)
 
 

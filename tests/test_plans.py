@@ -105,3 +105,72 @@ def test_columns_and_indexes_are_not_moved_by_name(spark, name):
                 break
             below.append(line)
         assert not [x for x in below if "l_partkey" in x]
+
+
+def below_exchanges(df):
+    """Each shuffle of a plan with the lines of what it shuffles."""
+    lines = plan(df).splitlines()
+
+    def depth(line):
+        return next(i for i, x in enumerate(line) if x.isalpha() or x == "*")
+
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            yield line, lines[i + 1:end]
+
+
+def test_the_database_report_adds_columns_up_before_it_moves_them(spark):
+    """Order lines stand for columns: they are shuffled by their order, then only sums of them are."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        moved = list(below_exchanges(all_queries()["report_databases"](spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    of_columns = [(line, below) for line, below in moved if any("lineitem.parquet" in x for x in below)]
+    assert of_columns
+    for line, below in of_columns:
+        assert "l_orderkey" in line or "o_orderkey" in line or "HashAggregate" in below[0], line
+
+
+def test_sequences_reduce_the_orders_before_the_join(spark):
+    from estatescope.star.inventory import StarInventory
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = list(below_exchanges(StarInventory(spark, SF).sequences))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    of_orders = [below for _, below in moved if any("orders.parquet" in x for x in below)]
+    assert of_orders and all("HashAggregate" in below[0] for below in of_orders)
+
+
+@pytest.mark.parametrize("mode", ["reference", "intended"])
+def test_counts_of_columns_are_the_sums_of_their_findings(spark, mode):
+    """With unknown objects, columns without a key, and two objects of one name."""
+    from estatescope.plans.rules import column_counts, column_findings
+    from estatescope.plans.views import columns_view
+    named = "server_id int, database_id int, schema_key string, object_key string"
+    flags = ["incompatible_column", "computed_column", "large_text_column", "invalid_default"]
+    columns = spark.createDataFrame(
+        [(1, 1, "s", "a", "XML", None, None), (1, 1, "s", "a", "varchar(max)", True, "(getdate())"),
+         (1, 1, "s", "twice", "nvarchar (max)", False, "((0))"), (1, 2, "s", "a", "text", None, "(f())"),
+         (1, 2, "s", "unknown", "xml", True, "(f())"), (1, 2, None, "a", "xml", True, "(f())")],
+        f"{named}, data_type string, is_computed boolean, column_default string").selectExpr(
+        "*", "'' table_schema", "'' table_catalog", "'' table_name", "'c' column_name", "1L ordinal_position",
+        "true is_nullable", "'' collation_name", "8 character_maximum_length")
+    objects = spark.createDataFrame(
+        [(1, 1, "s", "a"), (1, 1, "s", "twice"), (1, 1, "s", "twice"), (1, 2, "s", "a"), (1, 2, None, "a"),
+         (1, 2, "s", "empty")], named).selectExpr(
+        "*", "'d' database_name", "'S' server_name", "'U' xtype", "1L row_count", "'1' row_count_s",
+        "'k' pk_name", "array('c') pk_cols")
+    findings = column_findings(columns_view({"columns": columns}, objects), mode)
+
+    def sums(df):
+        return sorted(map(tuple, df.groupBy("server_id", "database_id").agg(
+            *[F.sum(f).alias(f) for f in flags]).collect()))
+
+    want = sums(findings)
+    assert len(want) == 2
+    assert sums(column_counts(columns, objects, mode)) == want
