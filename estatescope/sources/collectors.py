@@ -367,9 +367,15 @@ def load_top_sql(procs: DataFrame, stats: DataFrame, schemas: DataFrame, as_of:
     named = (procs.join(schemas.select(*DB, "schema_id", F.col("name").alias("_schema")),
                         [*DB, "schema_id"])
              .select(*OBJ, F.concat("_schema", F.lit("."), "name").alias("sp_name")))
-    # Rank before naming would drop procedures without a name too late, so join first; the
-    # ranking itself keeps n rows per database and task.
-    top = top_n_per_group(stats.join(named, OBJ), DB, n,
+    # Rank before naming would drop procedures without a name too late, so join first.
+    return top_sql(stats.join(named, OBJ), as_of, n)
+
+
+def top_sql(named_stats: DataFrame, as_of: Column, n: int = 10) -> DataFrame:
+    """The ``n`` procedures of each database with most worker time, of statistics that have their ``sp_name``.
+
+    The ranking keeps n rows per database and task."""
+    top = top_n_per_group(named_stats, DB, n,
                           F.desc("total_worker_time"), F.asc("sp_name"), F.asc("object_id"))
     calls, age = F.col("execution_count"), seconds_between(F.col("cached_time"), as_of)
     per_call = F.nullif(calls, F.lit(0))

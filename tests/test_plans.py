@@ -174,3 +174,23 @@ def test_counts_of_columns_are_the_sums_of_their_findings(spark, mode):
     want = sums(findings)
     assert len(want) == 2
     assert sums(column_counts(columns, objects, mode)) == want
+
+
+def test_the_inventory_reads_the_order_lines_of_procedures_once(spark):
+    from estatescope.star.inventory import StarInventory
+    assert plan(StarInventory(spark, SF).top_sql).count("lineitem.parquet") == 1
+
+
+def test_the_bundle_reads_every_text_from_the_store(spark, monkeypatch):
+    """Texts are sorted out once and stored, not again by each table that searches them."""
+    from estatescope.star import plan_queries
+    seen = {}
+
+    def kept(jobs, kept=None):
+        seen["texts"] = jobs["index_view"].__closure__[0].cell_contents["texts"]
+        raise InterruptedError
+
+    monkeypatch.setattr(plan_queries, "evaluate", kept)
+    with pytest.raises(InterruptedError):
+        all_queries()["report_bundle"](spark, SF)
+    assert "documents.parquet" not in plan(seen["texts"]) and seen["texts"].count() == 200
