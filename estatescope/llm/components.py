@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from estatescope.workspace import removed, stored
 
@@ -13,17 +13,16 @@ def connected(links: DataFrame, folder: str) -> DataFrame:
     Large-star and small-star steps: every node hangs its larger neighbours below its least
     neighbour, then its smaller ones.  Both keep components together and shrink paths at least by
     half, so a few rounds suffice; a node with many neighbours is a minimum over its rows, which
-    combines before the shuffle, and a join that can be split.  Each round is a written table.
+    combines before the shuffle, and a join that can be split.  Each round is a written table; the last
+    one is that which changes nothing, so links that are stars already take one.
     """
     spark = links.sparkSession
     edges = stored(_ordered(links.select("a", "b")), f"{folder}/links-0")
-    last, turn = None, 0
+    last, turn = _signature(edges), 0
     while True:
         turn += 1
-        step = _small_star(_large_star(edges))
-        now = stored(step, f"{folder}/links-{turn}")
-        signature = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")),
-                            F.bit_xor(F.xxhash64("a", "b"))).first()
+        now = stored(_small_star(_large_star(edges)), f"{folder}/links-{turn}")
+        signature = _signature(now)
         removed(spark, f"{folder}/links-{turn - 1}")
         if signature == last:
             break
@@ -31,6 +30,10 @@ def connected(links: DataFrame, folder: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _signature(links: DataFrame) -> Row:
+    return links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+
 def _ordered(links: DataFrame) -> DataFrame:
     """Each link once, the larger end first."""
     return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

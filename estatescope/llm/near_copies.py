@@ -29,17 +29,19 @@ the two named columns are read, so others may have any name.  An empty table giv
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from estatescope.llm.components import connected
 from estatescope.llm.simhash import fingerprint_of, first_rows, links, tie_of
 from estatescope.llm.texts import mixed, pieces, word_hashes
-from estatescope.workspace import removed, stored, work_folder
+from estatescope.workspace import joined_in_tasks, removed, stored, work_folder
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: Cells of a row of the sketch of counts (two rows), and bits of a bitmap.
@@ -113,7 +115,7 @@ class Counted:
 def _merged(pages: DataFrame, bits: int) -> np.ndarray:
     """The counts of all partitions, in steps of a quarter of a doubling: one byte a cell.
 
-    The driver gets 16 KB for each of a fixed number of pages."""
+    The driver gets at most 16 KB, compressed, for each of a fixed number of pages."""
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, counts = None, np.zeros(_PAGE, np.int64)
@@ -121,7 +123,7 @@ def _merged(pages: DataFrame, bits: int) -> np.ndarray:
         def finished() -> pa.RecordBatch:
             steps = np.where(counts > 0, 4 * np.log2(np.maximum(counts, 1)) + 1, 0).astype(np.uint8)
             return pa.RecordBatch.from_arrays(
-                [pa.array([page], pa.int32()), pa.array([steps.tobytes()], pa.binary())], ["page", "steps"])
+                [pa.array([page], pa.int32()), pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary())], ["page", "steps"])
 
         for batch in batches:
             for p, places, hits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -139,7 +141,7 @@ def _merged(pages: DataFrame, bits: int) -> np.ndarray:
     done = pages.repartition("page").sortWithinPartitions("page").mapInArrow(merge, "page int, steps binary")
     out = np.zeros(_ROWS << bits, np.uint8)
     for page, steps in done.toLocalIterator():
-        out[page * _PAGE:(page + 1) * _PAGE] = np.frombuffer(steps, np.uint8)
+        out[page * _PAGE:(page + 1) * _PAGE] = np.frombuffer(zlib.decompress(steps), np.uint8)
     return out
 
 
@@ -194,9 +196,8 @@ def described(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str =
             _merged(both.where("kind = 'page'").select("page", "places", "counts"), bits))
 
 
-def _nodes(docs: DataFrame, steps: np.ndarray, doc_id: str, text: str, size: int, percent: int, bits: int) -> DataFrame:
+def _nodes(docs: DataFrame, sent: Broadcast, doc_id: str, text: str, size: int, percent: int, bits: int) -> DataFrame:
     """(name, n, fp, prefix, bits): one row of every different set but the empty one; fp is its SimHash fingerprint."""
-    sent = docs.sparkSession.sparkContext.broadcast(steps)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -266,6 +267,8 @@ class Comparison:
         spark, self.made = self.docs.sparkSession, self.made + 1
         at = f"{self.folder}/compared-{self.made}"
         possible = stored(_possible(pairs, self.bits, self.percent), f"{at}/possible")
+        if possible.isEmpty():
+            return possible
         names = possible.select(F.col("a").alias("name")).union(possible.select("b")).distinct()
         sets = stored(_sets(self.docs, self.marked, names, *self.where), f"{at}/sets")
         side = lambda s: sets.select(F.col("name").alias(s), F.col("shingles").alias(f"set_{s}"))
@@ -279,7 +282,7 @@ class Comparison:
 
 
 def _by_fingerprint(nodes: DataFrame, folder: str) -> DataFrame:
-    """Pairs of each node and the least one of its fingerprint's component."""
+    """Pairs of each node (a) and the least one (b) of its fingerprint's component: stars, whichever of them are kept."""
     least = stored(nodes.groupBy("fp").agg(F.min("name").alias("least")), f"{folder}/fingerprints")
     roots = connected(links(least.select("fp"), f"{folder}/simhash"), f"{folder}/simhash")
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -295,6 +298,14 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def _with_links(roots: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """The roots when there are more links: a node and its root stand for all the links that led there."""
+    if links.isEmpty():
+        return roots
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return connected(known.union(links.select("a", "b")), folder)
+
+
 def _remaining(met: DataFrame, centres: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of buckets that are not one component: members outside the centre's component with all others."""
     rooted = met.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn(
@@ -321,10 +332,17 @@ def _remaining(met: DataFrame, centres: DataFrame, roots: DataFrame, percent: in
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
                percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """(doc_id, tie, root): root is the same for documents that links connect."""
+    with joined_in_tasks(docs.sparkSession):
+        return _components(docs, doc_id, text, size, percent, bits)
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, bits: int) -> DataFrame:
     spark = docs.sparkSession
     folder = work_folder(spark, "near-copies")
     marked, steps = described(docs, folder, doc_id, text, size, bits)
-    nodes = stored(_nodes(docs, steps, doc_id, text, size, percent, bits), f"{folder}/nodes")
+    sent = spark.sparkContext.broadcast(steps)
+    nodes = stored(_nodes(docs, sent, doc_id, text, size, percent, bits), f"{folder}/nodes")
+    sent.destroy()
     entries = nodes.select("name", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = stored(entries.groupBy("token").count().where("count > 1").select("token"), f"{folder}/shared")
     met = stored(entries.join(shared, "token", "left_semi"), f"{folder}/met")
@@ -339,17 +357,15 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     first = stars.groupBy("name").agg(F.max(F.struct("members", "centre")).alias("x")).select(
         F.col("name").alias("a"), F.col("x.centre").alias("b"))
     near = compare.similar(_by_fingerprint(nodes, folder))
-    linked = near.union(compare.similar(_apart(first, connected(near, f"{folder}/near"))))
+    roots = near.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = _with_links(roots, compare.similar(_apart(first, roots)), f"{folder}/linked")
     other = stars.select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b"))
-    found = linked.union(compare.similar(_apart(other, connected(linked, f"{folder}/linked")).distinct()))
-    roots = connected(found, f"{folder}/first")
+    roots = _with_links(roots, compare.similar(_apart(other, roots).distinct()), f"{folder}/first")
     removed(spark, f"{folder}/stars")
 
     rest = stored(_remaining(met, centres, roots, percent), f"{folder}/rest")
     if not rest.isEmpty():
-        more = compare.similar(rest)
-        if not more.isEmpty():
-            roots = connected(found.union(more), f"{folder}/second")
+        roots = _with_links(roots, compare.similar(rest), f"{folder}/second")
     for table in ("nodes", "centres", "met", "rest"):
         removed(spark, f"{folder}/{table}")
     return marked.join(roots.withColumnRenamed("node", "name"), "name", "left").select(
@@ -358,4 +374,5 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of ``docs`` of each component: that of the least doc_id (null ids last; equal ids: by text)."""
-    return first_rows(docs, components(docs, doc_id, text, **options), doc_id, text)
+    with joined_in_tasks(docs.sparkSession):
+        return first_rows(docs, components(docs, doc_id, text, **options), doc_id, text)

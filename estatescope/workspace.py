@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,21 +28,39 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 #: Whether Spark deletes the shuffle files of a query when it has ended.
 _CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Up to which size Spark broadcasts a side of a join, by its files and once measured.
+_BROADCAST = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def joined_in_tasks(spark: SparkSession):
+    """What is written within this context joins in tasks only.
+
+    A side that is broadcast is built on the driver and stays there until the driver collects its garbage; a step of many
+    small joins fills the driver's memory with them, whatever the size of its input."""
+    return _settings(spark, dict.fromkeys(_BROADCAST, "-1"))
 
 
 def stored(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     """Write ``df`` once and read it back: later steps, and retries after a lost executor, start
     from the files.  What was shuffled to make them is deleted then, not when the driver next collects garbage."""
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANED, None)
-    spark.conf.set(_CLEANED, "true")
-    try:
+    with _settings(spark, {_CLEANED: "true"}):
         writer = df.write.mode("errorifexists").option("compression", "zstd")
         if partitions:
             writer = writer.partitionBy(*partitions)
         writer.parquet(path)
-    finally:
-        spark.conf.set(_CLEANED, before) if before is not None else spark.conf.unset(_CLEANED)
     return spark.read.schema(df.schema).parquet(path)
 
 

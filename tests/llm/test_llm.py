@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from estatescope.llm import (
-    decontamination, language, mixing, near_copies, pii, quality, secrets, sharding, simhash, sketch, substrings,
+    components, decontamination, language, mixing, near_copies, pii, quality, secrets, sharding, simhash, sketch, substrings,
     suffixes, texts,
 )
 from estatescope.llm.components import connected
@@ -709,3 +709,40 @@ def test_simhash_links_close_copies_before_prefixes_are_joined(spark, monkeypatc
     roots = {r.doc_id: r.root for r in near_copies.components(table(spark, rows)).collect()}
     assert all(roots[i] == roots[1000 + i] for i in range(40)) and len(set(roots.values())) == 40
     assert made[0] >= len(near) and sum(made[1:]) <= 40 - len(near)
+
+
+def test_near_copies_build_no_side_of_a_join_on_the_driver(spark, monkeypatch):
+    """However small a side is; what is broadcast stays in the driver's memory until its garbage is collected."""
+    plans, sent, write, keys = [], [], near_copies.stored, (
+        "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(key, None) for key in keys]
+
+    def spied(df, path, *partitions):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        sent.append([spark.conf.get(key, None) for key in keys])
+        return write(df, path, *partitions)
+
+    for module in (near_copies, components, simhash):
+        monkeypatch.setattr(module, "stored", spied)
+    rows = near_table(random.Random(44), 40)
+    kept = {r.doc_id for r in near_copies.representatives(table(spark, rows)).collect()}
+    assert kept >= set(range(40)) and len(kept) < 80
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not any("Broadcast" in p for p in plans)
+    assert all(x == ["-1", "-1"] for x in sent) and [spark.conf.get(key, None) for key in keys] == before
+
+
+def test_links_that_are_stars_take_one_round(spark, monkeypatch):
+    written, write = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, path: written.append(path) or write(df, path))
+    links = spark.createDataFrame([(100 + i, i % 3) for i in range(30)], "a bigint, b bigint")
+    roots = {r.node: r.root for r in connected(links, work_folder(spark, "test-stars")).collect()}
+    assert roots == {100 + i: i % 3 for i in range(30)} and len(written) == 2
+
+
+def test_more_links_join_the_components_that_are_known(spark):
+    roots = spark.createDataFrame([(11, 1), (12, 1), (21, 2), (31, 3)], "node bigint, root bigint")
+    none, more = (spark.createDataFrame(x, "a bigint, b bigint") for x in ([], [(12, 21), (31, 41)]))
+    folder = work_folder(spark, "test-more-links")
+    assert near_copies._with_links(roots, none, folder) is roots
+    got = {r.node: r.root for r in near_copies._with_links(roots, more, folder).collect()}
+    assert got == {11: 1, 12: 1, 2: 1, 21: 1, 31: 3, 41: 3}
